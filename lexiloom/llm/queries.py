@@ -1,7 +1,7 @@
 """The queries opN_<name> and, where SQL can express them, their SQL."""
 
-from . import bpe, fingerprint, minhash, unigram, warc
+from . import bpe, fingerprint, minhash, quality, unigram, warc
 
-MODULES = (minhash, fingerprint, warc, bpe, unigram)
+MODULES = (minhash, fingerprint, warc, bpe, quality, unigram)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
