@@ -4,8 +4,9 @@ Each document's shingle set is reduced to POSITIONS minhash values.  A tree of t
 node it selects positions at random, about 1 / threshold of them, and a document goes on to one child for each selected
 position: that of its minhash value there.  Two documents stay together with a probability that depends on their
 similarity alone, so TREES independent trees reach the recall wanted.  A node of at most LEAF documents is compared
-exhaustively (by sketches, with a bound that a true link passes); larger ones branch on, and what is still larger after
-DEPTH levels stays one candidate block.  Blocks hold every candidate link; each is solved on the full shingle sets.
+exhaustively (by sketches, with a bound that a true link passes); larger ones branch on.  A large node whose documents
+are mostly alike would not shrink: it is one candidate block at once, as is what is still large after DEPTH levels.
+Blocks hold every candidate link; each is solved on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -132,6 +133,17 @@ def _leaves(batches, threshold):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _alike(batches, threshold):
+    """Whether the sketch and the size of each document of a node permit a link with the node's pivot."""
+    least = _least_sketch(threshold)
+    for batch in batches:
+        own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, POSITIONS) & np.uint32(255) for c in ("sig", "pivot_sig"))
+        n, m = (np.asarray(batch.column(c)) for c in ("n", "pivot_n"))
+        fits = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+        like = ((own == pivot).mean(axis=1) >= least) & fits
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "id", "sig", "pivot")] + [pa.array(like.astype(np.float64))], names=["key", "id", "sig", "pivot", "alike"])
+
+
 def _solve(batches, k, percent):
     """Links within each block on the full sets, as a star for each component; what is joined already isn't compared again."""
     least = _least_sketch(percent / 100)
@@ -180,14 +192,17 @@ def candidate_blocks(reps: DataFrame, threshold: float, trees: int = TREES, leaf
         found = small.mapInArrow(lambda b: _leaves(b, threshold), "a long, b long")
         large = live.where(F.col("count") > leaf)
         some = bool(large.take(1))
-        if some and level == depth:
-            star = large.groupBy("key").agg(F.min("id").alias("a"))
-            found = found.union(large.join(star, "key").where("a <> id").select("a", F.col("id").alias("b")))
+        if some:
+            pivot = large.groupBy("key").agg(F.min(F.struct("id", "n", "sig")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sig").alias("pivot_sig"))
+            tested = saved(large.join(pivot, "key").mapInArrow(lambda b: _alike(b, threshold), "key long, id long, sig binary, pivot long, alike double"), "tested")
+            dense = tested.groupBy("key").agg((F.avg("alike") >= (0.0 if level == depth else 0.5)).alias("dense"))
+            tested = tested.join(dense, "key")
+            found = found.union(tested.where("dense and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         found = saved(found.distinct(), "links")
         links = found if links is None else links.union(found)
-        if not some:
+        if not some or level == depth:
             break
-        rows = saved(large.select("key", "id", "sig").mapInArrow(lambda b: _branch(b, threshold, 0), "key long, id long"), "paths")
+        rows = saved(tested.where("not dense").select("key", "id", "sig").mapInArrow(lambda b: _branch(b, threshold, 0), "key long, id long"), "paths")
     return connected_components(links)
 
 
