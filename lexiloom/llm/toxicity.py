@@ -179,8 +179,15 @@ def learned_stems(sample: DataFrame, most: int = STEMS) -> dict[str, float]:
     rows = counts.where((F.col("toxic") >= 3) & (F.col("toxic") > 4 * share * (F.col("toxic") + F.col("other"))) & F.col("stem").isNotNull()).orderBy(F.desc("toxic"), "stem").limit(most * 4).toPandas()
     rows = rows[_ratio(rows["toxic"].to_numpy(float), rows["other"].to_numpy(float), whole["toxic"], whole["other"]) >= rare].head(most)
     found = {r.stem: r for r in rows.itertuples()}
-    # A stem gives way to a longer one that stands in nearly as many toxic texts and in no more others.
-    loose = {s[:n] for s in found for n in range(3, len(s)) if s[:n] in found and found[s].toxic >= 0.9 * found[s[:n]].toxic and found[s].other <= found[s[:n]].other}
+    for r in counts.where(F.col("stem").isin(list(kept))).where("other >= 5 and other > toxic").select("stem").collect():
+        del kept[r["stem"]]
+    # A stem gives way to a longer one that stands in most of its toxic texts and in few or no more of the others.
+    loose = set()
+    for s in found:
+        for n in range(3, len(s)):
+            short, long = found.get(s[:n]), found[s]
+            if short is not None and (long.toxic >= 0.9 * short.toxic and long.other <= short.other or long.toxic >= 0.6 * short.toxic and 10 * long.other <= short.other):
+                loose.add(s[:n])
     for s in sorted(set(found) - loose, key=lambda s: (len(s), s)):
         if s in kept or not any(s[:n] in kept for n in range(3, len(s))):
             lift = ((found[s].toxic_words + 0.5) / whole["toxic_words"]) / ((found[s].other_words + 0.5) / whole["other_words"])
