@@ -112,7 +112,7 @@ def ending_hits(norm: Column, high: Column) -> dict[str, Column]:
 
 def sentences(norm: Column) -> Column:
     pieces = F.regexp_extract_all(norm, F.lit(f"({c.SENTENCE})"), F.lit(1))
-    return F.slice(F.filter(F.transform(pieces, F.ltrim), lambda s: s != ""), 1, c.SENTENCES)
+    return F.slice(F.filter(F.transform(pieces, lambda s: F.ltrim(s)), lambda s: s != ""), 1, c.SENTENCES)
 
 
 def sentence_language(s: Column) -> Column:
