@@ -19,6 +19,11 @@ def ratio(a: Column, b: Column) -> Column:
     return (a.cast("float") / F.nullif(b, F.lit(0)).cast("float")).cast("float")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def round2(x: Column) -> Column:
     return (F.round((x * f32(100)).cast("float"), 0) / f32(100)).cast("float")
 

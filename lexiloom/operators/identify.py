@@ -141,25 +141,36 @@ def _ranked(entries: Column) -> Column:
 
 def fine_distribution(w: Column) -> Column:
     """Rounded shares of the weights (by tag), ranked."""
-    total = F.aggregate(w, _ZERO, lambda a, e: (a + e.w).cast("float"))
-    shares = F.transform(w, lambda e: F.struct(e.tag.alias("language"), x.ratio(e.w, total).alias("confidence")))
-    return _ranked(F.transform(F.filter(shares, lambda e: e.confidence > 0), lambda e: F.struct(e.language.alias("language"), x.round2(e.confidence).alias("confidence"))))
+
+    def shares(entries, total):
+        found = F.transform(entries, lambda e: F.struct(e.tag.alias("language"), x.ratio(e.w, total).alias("confidence")))
+        return F.transform(F.filter(found, lambda e: e.confidence > 0), lambda e: F.struct(e.language.alias("language"), x.round2(e.confidence).alias("confidence")))
+
+    def sums(entries):
+        return x.let(F.aggregate(entries, _ZERO, lambda a, e: (a + e.w).cast("float")), lambda total: shares(entries, total))
+
+    return _ranked(x.let(w, sums))
 
 
 def macro_candidates(fine: Column) -> Column:
-    macros = F.array_sort(F.array_distinct(F.transform(fine, lambda e: x.macro_of(e.language))))
+    def macros(entries):
+        tags = F.array_sort(F.array_distinct(F.transform(entries, lambda e: x.macro_of(e.language))))
+
+        def one(m):
+            total = F.aggregate(F.filter(entries, lambda e: x.macro_of(e.language) == m), _ZERO, lambda a, e: (a + e.confidence).cast("float"))
+            return F.struct(m.alias("language"), x.round2(total).alias("confidence"))
 
-    def one(m):
-        total = F.aggregate(F.filter(fine, lambda e: x.macro_of(e.language) == m), _ZERO, lambda a, e: (a + e.confidence).cast("float"))
-        return F.struct(m.alias("language"), x.round2(total).alias("confidence"))
+        return F.transform(tags, one)
 
-    return _ranked(F.transform(macros, one))
+    return _ranked(x.let(fine, macros))
 
 
 def primary_variant(fine: Column, top_macro: Column) -> Column:
-    own = F.filter(fine, lambda e: x.macro_of(e.language) == top_macro)
-    best = F.array_max(F.transform(own, lambda e: F.struct(e.confidence.alias("confidence"), e.language.alias("language"))))
-    return best["language"]
+    def best(m):
+        own = F.filter(fine, lambda e: x.macro_of(e.language) == m)
+        return F.array_max(F.transform(own, lambda e: F.struct(e.confidence.alias("confidence"), e.language.alias("language"))))
+
+    return x.let(top_macro, best)["language"]
 
 
 def _money(v: Column) -> Column:
@@ -168,7 +179,11 @@ def _money(v: Column) -> Column:
 
 def calibrated(candidates: Column, visible: Column, several: Column) -> Column:
     """struct<status,note,candidates,primary>."""
-    kept = F.filter(candidates, lambda e: e.confidence >= f32(c.KEEP_FLOOR))
+    ranked = F.struct(F.size(candidates).alias("n"), F.filter(candidates, lambda e: e.confidence >= f32(c.KEEP_FLOOR)).alias("kept"))
+    return x.let(ranked, lambda r: _verdict(r.n, r.kept, visible, several))
+
+
+def _verdict(n: Column, kept: Column, visible: Column, several: Column) -> Column:
     top, lang = F.get(kept, 0)["confidence"], F.get(kept, 0)["language"]
     second = F.coalesce(F.get(kept, 1)["confidence"], _ZERO)
     gap = (top - second).cast("float")
@@ -182,7 +197,7 @@ def calibrated(candidates: Column, visible: Column, several: Column) -> Column:
 
     embedded = F.concat(lang, F.lit(" is primary (confidence "), _money(top), F.lit("); remaining candidates treated as embedded segments"))
     return (
-        F.when((visible == 0) | (F.size(candidates) == 0), verdict("unknown", F.lit("No supported script detected in input"), none, F.lit(None)))
+        F.when((visible == 0) | (n == 0), verdict("unknown", F.lit("No supported script detected in input"), none, F.lit(None)))
         .when(F.size(kept) == 0, verdict("unknown", F.lit("No candidate above confidence floor"), none, F.lit(None)))
         .when(clear & several, verdict("ambiguous", F.concat(lang, F.lit(" is primary (confidence "), _money(top), F.lit("), but Layer 7 detected sentences in another language — status downgraded to 'ambiguous'")), kept, lang))
         .when(clear, verdict("resolved", F.when((top >= f32(c.DOMINANT)) & (second < f32(c.KEEP_FLOOR)), F.concat(F.lit("Single language detected: "), lang)).otherwise(embedded), kept, lang))

@@ -136,23 +136,24 @@ def han_run_overrides(spark, sf_dir):
 
 
 def segments(spark, sf_dir):
-    done = identify(texts(spark, sf_dir)).select("doc_id", F.posexplode("segments").alias("ord", "s"))
+    done = identify(texts(spark, sf_dir)).select("doc_id", F.posexplode_outer("segments").alias("ord", "s")).where("s is not null")
     return done.select("doc_id", "ord", F.col("s.language").alias("language"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.text").alias("segment"))
 
 
 def segment_tokens(spark, sf_dir):
-    done = identify(texts(spark, sf_dir), options=IdentifyOptions(tokenize=True)).select("doc_id", F.explode("segments").alias("s"))
-    return done.select("doc_id", F.col("s.language").alias("language"), F.explode("s.tokens").alias("t")).select("doc_id", "language", F.col("t.text").alias("token"), F.col("t.start").alias("start"), F.col("t.end").alias("stop"))
+    done = identify(texts(spark, sf_dir), options=IdentifyOptions(tokenize=True)).select("doc_id", F.explode_outer("segments").alias("s"))
+    return done.select("doc_id", F.col("s.language").alias("language"), F.explode_outer("s.tokens").alias("t")).where("t is not null").select("doc_id", "language", F.col("t.text").alias("token"), F.col("t.start").alias("start"), F.col("t.end").alias("stop"))
 
 
 def script_weights(spark, sf_dir):
     """The weights of all layers before they are normalized."""
     done = scored(_signals(spark, sf_dir), _NO_SEGMENTS).where(_live())
-    return done.select("doc_id", F.explode("weights").alias("e")).select("doc_id", F.col("e.tag").alias("tag"), F.round(F.col("e.w").cast("double"), 5).alias("w"))
+    return done.select("doc_id", F.explode_outer("weights").alias("e")).where("e is not null").select("doc_id", F.col("e.tag").alias("tag"), F.round(F.col("e.w").cast("double"), 5).alias("w"))
 
 
 def _pairs(done: DataFrame, name: str) -> DataFrame:
-    return done.select("doc_id", F.explode(name).alias("e")).select("doc_id", F.col("e.language").alias("language"), F.round(F.col("e.confidence").cast("double"), 2).alias("confidence"))
+    # An inner explode would have the optimizer test the array in a filter of its own, and compute it twice.
+    return done.select("doc_id", F.explode_outer(name).alias("e")).where("e is not null").select("doc_id", F.col("e.language").alias("language"), F.round(F.col("e.confidence").cast("double"), 2).alias("confidence"))
 
 
 def fine_distribution(spark, sf_dir):
@@ -233,7 +234,7 @@ def language_rollup(spark, sf_dir):
 
 
 def ml_classifier(spark, sf_dir):
-    return language_model_scores(documents(spark, sf_dir)).select("doc_id", F.explode("scores").alias("s")).select("doc_id", F.col("s.tag").alias("tag"), F.col("s.conf").alias("conf"))
+    return language_model_scores(documents(spark, sf_dir)).select("doc_id", F.explode_outer("scores").alias("s")).select("doc_id", F.col("s.tag").alias("tag"), F.col("s.conf").alias("conf"))
 
 
 def stream_identify(spark, sf_dir):
