@@ -9,8 +9,6 @@ another entity of the corpus: colliding ones are drawn again until none is left.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ _NAME = r"\p{Lu}[\p{L}'’\-]+"
 PATTERNS = {
     "email": rf"(?<!{_L}){_L}++(?<![.])@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{{2,}}+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}+])[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
@@ -34,6 +32,9 @@ PATTERNS = {
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([.\-])[0-9]{3}\1", r"(?:-[0-9]{3}-|\.[0-9]{3}\.)")
 
+#: What a text with a name holds: the beginnings of all titles.
+_TITLE_SIGNS = ["Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Sr", "Señor", "Sir", "Dr", "Prof"]
+
 #: Letters that stand for letters of a script.
 _ALPHABETS = {
     "Latin": ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -79,6 +80,14 @@ def gender(kind: Column, v: Column) -> Column:
     return F.when(kind != "name", "").when(bare.isin(_TITLES_F), "f").otherwise("m")
 
 
+def has_entities(text: Column) -> Column:
+    """Whether a text holds an entity; those without a digit, an at sign or a title are told by quick scans."""
+    sign = text.rlike("[@0-9]")
+    for t in _TITLE_SIGNS:
+        sign = sign | text.contains(t)
+    return F.coalesce(sign & text.rlike(_ANY), F.lit(False))
+
+
 def _number(seed: Column, i, n) -> Column:
     return F.pmod(F.xxhash64(seed, F.lit(i) if isinstance(i, int) else i), F.lit(n) if isinstance(n, int) else n).cast("int")
 
@@ -128,34 +137,65 @@ def _name_word(word: Column, seed: Column, sex: Column, ends: bool) -> Column:
     return F.initcap(F.when(word.rlike(r"\p{IsCyrillic}"), build("Cyrillic")).otherwise(build("Latin")))
 
 
-def surrogate(kind: Column, canon: Column, sex: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical form, itself in canonical form (a name in the case it is written in)."""
-
-    def seed(part: Column, of: Column | str) -> Column:
-        return F.sha2(F.concat_ws("|", F.lit(key), F.lit(of) if isinstance(of, str) else of, part, attempt.cast("string")), 256)
-
-    s = seed(canon, kind)
-    digits = _mapped(s, canon)
-    card = F.concat(F.left(canon, F.lit(1)), F.substr(digits, F.lit(2), F.length(canon) - 2))
-    check = F.pmod(10 - F.pmod(_luhn(F.concat(card, F.lit("0"))), F.lit(10)), F.lit(10))
-    last = F.when(F.pmod(_luhn(canon), F.lit(10)) == 0, check).otherwise(F.pmod(check + 1 + _number(s, 99, 9), F.lit(10)))
-    code = F.regexp_extract(canon, r"^(\+[0-9]+) ", 1)
-    plain = F.regexp_replace(canon, r"^\+[0-9]+ ", "")
-    phone = F.when(canon.startswith("+"), F.concat(code, F.lit(" "), F.substr(code, F.lit(2)), _mapped(s, F.substr(plain, F.length(code))))).otherwise(digits)
-    user, host = F.regexp_extract(canon, r"^(.*)@", 1), F.regexp_extract(canon, r"@(.*)\.[a-z]+$", 1)
-    email = F.concat(_mapped(s, user), F.lit("@"), _mapped(F.sha2(F.concat(F.lit(f"{key}|host|"), host), 256), host), F.regexp_extract(canon, r"\.[a-z]+$", 0))
-    given, family = F.regexp_extract(canon, r"^(\S+) ", 1), F.regexp_extract(canon, r"(\S+)$", 1)
-    name = F.concat(F.when(given != "", F.concat(_name_word(given, seed(given, "given"), sex, True), F.lit(" "))).otherwise(F.lit("")), _name_word(family, seed(family, "family"), sex, False))
-    return (
-        F.when(kind == "card", F.concat(card, last.cast("string")))
-        .when(kind == "phone", phone)
-        .when(kind == "ip", _octets(s))
-        .when(kind == "email", email)
-        .when(kind == "secret", F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.substring(F.lit("0123456789abcdef"), _number(s, i, 16) + 1, F.lit(1))), ""))
-        .when(kind == "iban", F.concat(F.left(canon, F.lit(2)), _mapped(s, F.substr(canon, F.lit(3)))))
-        .when(kind == "name", name)
-        .otherwise(digits)
-    )
+def _with(entity: Column, *names: str, **more: Column) -> Column:
+    return F.struct(*(entity[n].alias(n) for n in names), *(v.alias(k) for k, v in more.items()))
+
+
+def surrogates(found: Column, attempt, key: str) -> Column:
+    """array<struct<kind,v,canon,s>> of array<struct<kind,v,canon,sex>>: s is the surrogate in canonical form, a name in the case it is written in.
+
+    attempt tells an entity's draw.  Each step binds what the next uses, so that nothing is computed twice.
+    """
+
+    def seed(*of) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(key), *(F.lit(x) if isinstance(x, str) else x for x in of)), 256)
+
+    base = ["kind", "v", "canon", "sex"]
+    drawn = F.transform(found, lambda e: _with(e, *base, attempt=attempt(e).cast("string")))
+
+    def parts(e):
+        c = e.canon
+        body = (
+            F.when(e.kind.isin("card", "ssn"), c)
+            .when(e.kind == "phone", F.regexp_replace(c, r"^\+[0-9]+ ", ""))
+            .when(e.kind == "email", F.regexp_extract(c, r"^(.*)@", 1))
+            .when(e.kind == "iban", F.substr(c, F.lit(3)))
+            .otherwise("")
+        )
+        return _with(
+            e, *base, seed=seed(e.kind, c, e.attempt), body=body, host=F.regexp_extract(c, r"@(.*)\.[a-z]+$", 1), code=F.regexp_extract(c, r"^(\+[0-9]+) ", 1),
+            given=F.when(e.kind == "name", F.regexp_extract(c, r"^(\S+) ", 1)).otherwise(""), family=F.regexp_extract(c, r"(\S+)$", 1), attempt=e.attempt,
+        )
+
+    def seeds(e):
+        return _with(e, *base, "seed", "code", "given", "family", new=_mapped(e.seed, e.body), host=_mapped(seed("host", e.host), e.host), seed_given=seed("given", e.given, e.attempt), seed_family=seed("family", e.family, e.attempt))
+
+    def checked(e):
+        card = F.concat(F.left(e.canon, F.lit(1)), F.substr(e.new, F.lit(2), F.length(e.canon) - 2))
+        return _with(e, *base, "seed", "code", "given", "family", "new", "host", "seed_given", "seed_family", card=F.when(e.kind == "card", card).otherwise(""))
+
+    def digit(e):
+        check = F.pmod(10 - F.pmod(_luhn(F.concat(e.card, F.lit("0"))), F.lit(10)), F.lit(10))
+        valid = F.pmod(_luhn(e.canon), F.lit(10)) == 0
+        last = F.when(e.kind == "card", F.when(valid, check).otherwise(F.pmod(check + 1 + _number(e.seed, 99, 9), F.lit(10))).cast("string"))
+        secret = F.when(e.kind == "secret", F.array_join(F.transform(F.split(e.canon, ""), lambda c, i: F.substring(F.lit("0123456789abcdef"), _number(e.seed, i, 16) + 1, F.lit(1))), ""))
+        name = F.when(e.kind == "name", F.concat(F.when(e.given != "", F.concat(_name_word(e.given, e.seed_given, e.sex, True), F.lit(" "))).otherwise(""), _name_word(e.family, e.seed_family, e.sex, False)))
+        s = (
+            F.when(e.kind == "card", F.concat(e.card, last))
+            .when((e.kind == "phone") & (e.code != ""), F.concat(e.code, F.lit(" "), F.substr(e.code, F.lit(2)), F.substr(e.new, F.length(e.code))))
+            .when(e.kind == "ip", _octets(e.seed))
+            .when(e.kind == "email", F.concat(e.new, F.lit("@"), e.host, F.regexp_extract(e.canon, r"\.[a-z]+$", 0)))
+            .when(e.kind == "secret", secret)
+            .when(e.kind == "iban", F.concat(F.left(e.canon, F.lit(2)), e.new))
+            .when(e.kind == "name", name)
+            .otherwise(e.new)
+        )
+        return _with(e, "kind", "v", "canon", s=s)
+
+    out = drawn
+    for step in (parts, seeds, checked, digit):
+        out = F.transform(out, step)
+    return out
 
 
 def written(kind: Column, v: Column, s: Column) -> Column:
@@ -170,31 +210,36 @@ def written(kind: Column, v: Column, s: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "phone", "iban"), spaced).when(kind == "name", F.concat(_title(v), F.lit(" "), s)).when(kind.isin("email", "secret") & (v == F.upper(v)), F.upper(s)).otherwise(s)
 
 
-def _struct(v: Column) -> Column:
-    kind = entity_type(v)
-    return F.struct(kind.alias("kind"), v.alias("v"))
+def found_entities(text: Column) -> Column:
+    """array<struct<kind,v,canon,sex>> of a text's entities, in order."""
+    typed = F.transform(entities(text), lambda v: F.struct(entity_type(v).alias("kind"), v.alias("v")))
+    return F.transform(typed, lambda e: _with(e, "kind", "v", canon=canonical(e.kind, e.v), sex=gender(e.kind, e.v)))
+
+
+def _drawn(rows: DataFrame, key: str) -> DataFrame:
+    """rows (kind, canon, sex, attempt) with their surrogates s."""
+    one = F.array(F.struct("kind", F.lit("").alias("v"), "canon", "sex", "attempt"))
+    made = surrogates(F.transform(one, lambda e: _with(e, "kind", "v", "canon", "sex")), lambda e: F.col("attempt"), key)
+    return rows.withColumn("s", F.get(made, 0)["s"])
 
 
 def mapping(found: DataFrame, key: str, most: int = 40) -> DataFrame:
-    """(kind, canon, sex, attempt) of every distinct entity of found (kind, v), such that all surrogates differ and none is an entity.
+    """(kind, canon, sex, attempt, s) of every distinct entity of found (kind, canon, sex), such that all surrogates differ and none is an entity.
 
     What is drawn again is the entity whose surrogate is another's (all but the least canonical form of a group) or an
     entity of the corpus.  If the kind has no room for that many surrogates within `most` draws it is an error.
     """
-    k, v = F.col("kind"), F.col("v")
-    every = found.where("kind is not null").select("kind", canonical(k, v).alias("canon"), gender(k, v).alias("sex")).groupBy("kind", "canon").agg(F.min("sex").alias("sex"))
-    every = saved(every, "entities")
-    drawn = saved(every.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(k, F.col("canon"), F.col("sex"), F.lit(0), key)), "drawn")
+    every = saved(found.where("kind is not null").groupBy("kind", "canon").agg(F.min("sex").alias("sex")), "entities")
+    drawn = saved(_drawn(every.withColumn("attempt", F.lit(0)), key), "drawn")
+    real = every.select("kind", F.col("canon").alias("s"))
     for _ in range(most):
         taken = drawn.groupBy("kind", "s").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        real = every.select("kind", F.col("canon").alias("s")).withColumn("real", F.lit(True))
-        clash = drawn.join(taken, ["kind", "s"]).where("canon <> first").select("kind", "canon").union(drawn.join(real.select("kind", "s"), ["kind", "s"], "left_semi").select("kind", "canon")).distinct()
-        clash = saved(clash, "clash")
+        clash = drawn.join(taken, ["kind", "s"]).where("canon <> first").select("kind", "canon").union(drawn.join(real, ["kind", "s"], "left_semi").select("kind", "canon"))
+        clash = saved(clash.distinct(), "clash")
         if not clash.take(1):
             return drawn
         again = drawn.join(clash, ["kind", "canon"], "left_semi").select("kind", "canon", "sex", (F.col("attempt") + 1).alias("attempt"))
-        again = again.withColumn("s", surrogate(k, F.col("canon"), F.col("sex"), F.col("attempt"), key))
-        drawn = saved(drawn.join(clash, ["kind", "canon"], "left_anti").unionByName(again), "drawn")
+        drawn = saved(drawn.join(clash, ["kind", "canon"], "left_anti").unionByName(_drawn(again, key)), "drawn")
     raise ValueError("an entity type has no room for as many surrogates")
 
 
@@ -207,30 +252,28 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogates") -> DataFrame
     """
     columns = [c for c in docs.columns if c != "n_entities"]
     docs = docs.select(columns)
-    clear = docs.where(F.col("text").isNull() | ~F.col("text").rlike(_ANY)).withColumn("n_entities", F.lit(0))
-    held = docs.where(F.col("text").rlike(_ANY)).select(F.struct(*columns).alias("row"), F.transform(entities(F.col("text")), _struct).alias("found"))
+    clear = docs.where(~has_entities(F.col("text"))).withColumn("n_entities", F.lit(0))
+    held = docs.where(has_entities(F.col("text"))).select(F.struct(*columns).alias("row"), found_entities(F.col("text")).alias("found"), F.split("text", _ANY, -1).alias("between"))
     held = saved(held.withColumn("rid", F.monotonically_increasing_id()), "private")
-    found = held.select(F.explode("found").alias("e")).select("e.kind", "e.v")
-    chosen = mapping(found, key)
+    chosen = mapping(held.select(F.explode("found").alias("e")).select("e.kind", "e.canon", "e.sex"), key)
     odd = chosen.where("attempt > 0").select("kind", "canon", "attempt")
-    drawn = F.create_map().cast("map<string,int>")
     if odd.take(1):
-        k, v = F.col("kind"), F.col("v")
-        hits = held.select("rid", F.explode("found").alias("e")).select("rid", "e.kind", canonical(F.col("e.kind"), F.col("e.v")).alias("canon")).distinct().join(odd, ["kind", "canon"])
-        hits = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("drawn"))
+        hits = held.select("rid", F.explode("found").alias("e")).select("rid", "e.kind", "e.canon").distinct().join(odd, ["kind", "canon"])
+        hits = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("draws"))
         held = held.join(hits, "rid", "left")
-        drawn = F.coalesce(F.col("drawn"), drawn)
-    held = held.withColumn("drawn", drawn)
-    # Names of either gender that share a canonical form have the surrogate of one entity.
-    def replaced(e):
-        canon = canonical(e.kind, e.v)
-        attempt = F.coalesce(F.element_at(F.col("drawn"), F.concat_ws("|", e.kind, canon)), F.lit(0))
-        return F.when(e.kind.isNull(), e.v).otherwise(written(e.kind, e.v, surrogate(e.kind, canon, gender(e.kind, e.v), attempt, key)))
-
-    held = held.withColumn("between", F.split(F.col("row.text"), _ANY, -1)).withColumn("new", F.transform("found", replaced))
+
+        def attempt(e):
+            return F.coalesce(F.element_at(F.col("draws"), F.concat_ws("|", e.kind, e.canon)), F.lit(0))
+    else:
+
+        def attempt(e):
+            return F.lit(0)
+
+    new = F.transform(surrogates(F.col("found"), attempt, key), lambda e: F.when(e.kind.isNull(), e.v).otherwise(written(e.kind, e.v, e.s)))
+    held = held.withColumn("new", new)
     text = F.concat(F.array_join(F.transform(F.col("new"), lambda s, i: F.concat(F.get(F.col("between"), i), s)), ""), F.element_at("between", -1))
-    made = held.select("row.*", text.alias("_text"), F.size("found").alias("n_entities"))
-    return clear.unionByName(made.drop("text").withColumnRenamed("_text", "text"))
+    made = held.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns), F.size("found").alias("n_entities"))
+    return clear.unionByName(made)
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
