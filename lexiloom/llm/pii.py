@@ -27,7 +27,7 @@ PATTERNS = {
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}+])[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-][0-9]{2,5}){1,4}+|\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}|[0-9]{3}([.\-])[0-9]{3}\1[0-9]{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+(?=(?:[ .()\-]*[0-9]){7})[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,12}(?:[ .\-][0-9]{2,12}){0,4}+|\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}|[0-9]{3}([.\-])[0-9]{3}\1[0-9]{4})(?![\p{L}\p{N}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_TITLES_M + _TITLES_F)}|Dr|Prof)\.? {_NAME}(?: {_NAME})?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([.\-])[0-9]{3}\1", r"(?:-[0-9]{3}-|\.[0-9]{3}\.)")
@@ -227,19 +227,20 @@ def mapping(found: DataFrame, key: str, most: int = 40) -> DataFrame:
     """(kind, canon, sex, attempt, s) of every distinct entity of found (kind, canon, sex), such that all surrogates differ and none is an entity.
 
     What is drawn again is the entity whose surrogate is another's (all but the least canonical form of a group) or an
-    entity of the corpus.  If the kind has no room for that many surrogates within `most` draws it is an error.
+    entity of the corpus.  Names of either gender are different entities.  If the kind has no room for that many surrogates within `most` draws it is an error.
     """
-    every = saved(found.where("kind is not null").groupBy("kind", "canon").agg(F.min("sex").alias("sex")), "entities")
+    who = ["kind", "canon", "sex"]
+    every = saved(found.where("kind is not null").select(who).distinct(), "entities")
     drawn = saved(_drawn(every.withColumn("attempt", F.lit(0)), key), "drawn")
-    real = every.select("kind", F.col("canon").alias("s"))
+    real = every.select("kind", F.col("canon").alias("s")).distinct()
     for _ in range(most):
-        taken = drawn.groupBy("kind", "s").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        clash = drawn.join(taken, ["kind", "s"]).where("canon <> first").select("kind", "canon").union(drawn.join(real, ["kind", "s"], "left_semi").select("kind", "canon"))
+        taken = drawn.groupBy("kind", "s").agg(F.min(F.struct("canon", "sex")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        clash = drawn.join(taken, ["kind", "s"]).where(F.struct("canon", "sex") != F.col("first")).select(who).union(drawn.join(real, ["kind", "s"], "left_semi").select(who))
         clash = saved(clash.distinct(), "clash")
         if not clash.take(1):
             return drawn
-        again = drawn.join(clash, ["kind", "canon"], "left_semi").select("kind", "canon", "sex", (F.col("attempt") + 1).alias("attempt"))
-        drawn = saved(drawn.join(clash, ["kind", "canon"], "left_anti").unionByName(_drawn(again, key)), "drawn")
+        again = drawn.join(clash, who, "left_semi").select(*who, (F.col("attempt") + 1).alias("attempt"))
+        drawn = saved(drawn.join(clash, who, "left_anti").unionByName(_drawn(again, key)), "drawn")
     raise ValueError("an entity type has no room for as many surrogates")
 
 
@@ -256,14 +257,14 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogates") -> DataFrame
     held = docs.where(has_entities(F.col("text"))).select(F.struct(*columns).alias("row"), found_entities(F.col("text")).alias("found"), F.split("text", _ANY, -1).alias("between"))
     held = saved(held.withColumn("rid", F.monotonically_increasing_id()), "private")
     chosen = mapping(held.select(F.explode("found").alias("e")).select("e.kind", "e.canon", "e.sex"), key)
-    odd = chosen.where("attempt > 0").select("kind", "canon", "attempt")
+    odd = chosen.where("attempt > 0").select("kind", "canon", "sex", "attempt")
     if odd.take(1):
-        hits = held.select("rid", F.explode("found").alias("e")).select("rid", "e.kind", "e.canon").distinct().join(odd, ["kind", "canon"])
-        hits = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("draws"))
+        hits = held.select("rid", F.explode("found").alias("e")).select("rid", "e.kind", "e.canon", "e.sex").distinct().join(odd, ["kind", "canon", "sex"])
+        hits = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon", "sex"), "attempt"))).alias("draws"))
         held = held.join(hits, "rid", "left")
 
         def attempt(e):
-            return F.coalesce(F.element_at(F.col("draws"), F.concat_ws("|", e.kind, e.canon)), F.lit(0))
+            return F.coalesce(F.element_at(F.col("draws"), F.concat_ws("|", e.kind, e.canon, e.sex)), F.lit(0))
     else:
 
         def attempt(e):
