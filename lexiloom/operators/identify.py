@@ -18,7 +18,10 @@ from ..sources.lexicon import Lexicon
 from .options import IdentifyOptions
 
 f32 = x.f32
-_ZERO = f32(0)
+
+
+def _zero() -> Column:
+    return f32(0)
 
 
 def with_normalized(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -48,7 +51,7 @@ def with_signals(df: DataFrame, options: IdentifyOptions = IdentifyOptions()) ->
 
 
 def _share(a: Column) -> Column:
-    return F.coalesce(x.ratio(a, F.col("total")), _ZERO)
+    return F.coalesce(x.ratio(a, F.col("total")), _zero())
 
 
 def _capped(n: Column, rule: tuple[float, float]) -> Column:
@@ -63,18 +66,18 @@ def script_weights() -> dict[str, list[Column]]:
     latin, vi, fr = _share(k("latin")), k("vi"), k("fr")
     known = k("attr_en") + k("attr_fr") + k("attr_vi")
     for t in c.LATIN_TAGS:
-        out[t].append(F.when(known > 0, _share(k(f"chars_{t}"))).otherwise(_ZERO))
+        out[t].append(F.when(known > 0, _share(k(f"chars_{t}"))).otherwise(_zero()))
     rest = F.greatest(k("latin") - k("chars_en") - k("chars_fr") - k("chars_vi"), F.lit(0))
     rest_tag = F.when((vi >= 1) & (x.ratio(vi, k("latin")) >= f32(0.10)), "vi").when((fr >= 1) & (k("chars_fr") > 0), "fr").otherwise("en")
     dense_vi, dense_fr = x.ratio(vi, k("latin")) >= f32(0.10), x.ratio(fr, k("latin")) >= f32(0.05)
     vi_part, fr_part = F.least(_share(vi), latin), F.least(_share(fr), latin)
     plain = {
-        "vi": F.when(dense_vi, latin).when(dense_fr, _ZERO).when(vi >= 1, vi_part).when(fr >= 1, _ZERO).when(k("ngram_vi"), latin).otherwise(_ZERO),
-        "fr": F.when(dense_vi, _ZERO).when(dense_fr, latin).when(vi >= 1, _ZERO).when(fr >= 1, fr_part).otherwise(_ZERO),
-        "en": F.when(dense_vi | dense_fr, _ZERO).when(vi >= 1, (latin - vi_part).cast("float")).when(fr >= 1, (latin - fr_part).cast("float")).when(k("ngram_vi"), _ZERO).otherwise(latin),
+        "vi": F.when(dense_vi, latin).when(dense_fr, _zero()).when(vi >= 1, vi_part).when(fr >= 1, _zero()).when(k("ngram_vi"), latin).otherwise(_zero()),
+        "fr": F.when(dense_vi, _zero()).when(dense_fr, latin).when(vi >= 1, _zero()).when(fr >= 1, fr_part).otherwise(_zero()),
+        "en": F.when(dense_vi | dense_fr, _zero()).when(vi >= 1, (latin - vi_part).cast("float")).when(fr >= 1, (latin - fr_part).cast("float")).when(k("ngram_vi"), _zero()).otherwise(latin),
     }
     for t in c.LATIN_TAGS:
-        out[t].append(F.when(k("latin") == 0, _ZERO).when(known == 0, plain[t]).when((rest > 0) & (rest_tag == t), _share(rest)).otherwise(_ZERO))
+        out[t].append(F.when(k("latin") == 0, _zero()).when(known == 0, plain[t]).when((rest > 0) & (rest_tag == t), _share(rest)).otherwise(_zero()))
     out["ja"].append(_share(k("kana")))
     han = _share(k("han"))
     proof = k("kana") + k("hans") + k("hant") + k("nan") + k("hak") + k("wuu")
@@ -83,21 +86,21 @@ def script_weights() -> dict[str, list[Column]]:
 
     def part(n: Column, even: float) -> Column:
         split = F.when(proof > 0, (han * x.ratio(n, proof)).cast("float")).otherwise((han * f32(even)).cast("float"))
-        return F.when((k("han") == 0) | classical | (k("yue") > 0), _ZERO).otherwise(split)
+        return F.when((k("han") == 0) | classical | (k("yue") > 0), _zero()).otherwise(split)
 
-    out["lzh"].append(F.when(classical, han).otherwise(_ZERO))
-    out["yue"].append(F.when(~classical & (k("yue") > 0), han).otherwise(_ZERO))
+    out["lzh"].append(F.when(classical, han).otherwise(_zero()))
+    out["yue"].append(F.when(~classical & (k("yue") > 0), han).otherwise(_zero()))
     out["ja"].append(part(k("kana"), 0.50))
     out["zh-Hans"].append(part(k("hans"), 0.25))
     for t in ("zh-Hant", "zh-Hant-HK", "zh-Hant-TW"):
-        out[t].append(F.when(hant == t, part(k("hant"), 0.25)).otherwise(_ZERO))
+        out[t].append(F.when(hant == t, part(k("hant"), 0.25)).otherwise(_zero()))
     for t in ("nan", "hak", "wuu"):
         out[t].append(part(k(t), 0.0))
     return out
 
 
 def _added(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: (a + b).cast("float"), parts) if parts else _ZERO
+    return reduce(lambda a, b: (a + b).cast("float"), parts) if parts else _zero()
 
 
 def weights(ml: Column | None = None) -> Column:
@@ -127,7 +130,7 @@ def weights(ml: Column | None = None) -> Column:
             return F.aggregate(F.filter(scores, lambda s: s.tag == tag), w, lambda a, s: (a + F.least((f32(c.ML[0]) * s.conf).cast("float"), f32(c.ML[1]))).cast("float"))
 
         more = F.array_except(F.array_distinct(F.transform(scores, lambda s: s.tag)), F.array(*map(F.lit, c.TAGS)))
-        known = F.concat(F.transform(known, lambda e: entry(e.tag, with_scores(e.tag, e.w))), F.transform(more, lambda t: entry(t, with_scores(t, _ZERO))))
+        known = F.concat(F.transform(known, lambda e: entry(e.tag, with_scores(e.tag, e.w))), F.transform(more, lambda t: entry(t, with_scores(t, _zero()))))
     return F.array_sort(F.filter(known, lambda e: e.w > 0))
 
 
@@ -147,7 +150,7 @@ def fine_distribution(w: Column) -> Column:
         return F.transform(F.filter(found, lambda e: e.confidence > 0), lambda e: F.struct(e.language.alias("language"), x.round2(e.confidence).alias("confidence")))
 
     def sums(entries):
-        return x.let(F.aggregate(entries, _ZERO, lambda a, e: (a + e.w).cast("float")), lambda total: shares(entries, total))
+        return x.let(F.aggregate(entries, _zero(), lambda a, e: (a + e.w).cast("float")), lambda total: shares(entries, total))
 
     return _ranked(x.let(w, sums))
 
@@ -157,7 +160,7 @@ def macro_candidates(fine: Column) -> Column:
         tags = F.array_sort(F.array_distinct(F.transform(entries, lambda e: x.macro_of(e.language))))
 
         def one(m):
-            total = F.aggregate(F.filter(entries, lambda e: x.macro_of(e.language) == m), _ZERO, lambda a, e: (a + e.confidence).cast("float"))
+            total = F.aggregate(F.filter(entries, lambda e: x.macro_of(e.language) == m), _zero(), lambda a, e: (a + e.confidence).cast("float"))
             return F.struct(m.alias("language"), x.round2(total).alias("confidence"))
 
         return F.transform(tags, one)
@@ -185,7 +188,7 @@ def calibrated(candidates: Column, visible: Column, several: Column) -> Column:
 
 def _verdict(n: Column, kept: Column, visible: Column, several: Column) -> Column:
     top, lang = F.get(kept, 0)["confidence"], F.get(kept, 0)["language"]
-    second = F.coalesce(F.get(kept, 1)["confidence"], _ZERO)
+    second = F.coalesce(F.get(kept, 1)["confidence"], _zero())
     gap = (top - second).cast("float")
     strong = F.size(F.filter(kept, lambda e: e.confidence >= f32(c.MIXED_FLOOR)))
     clear = (top >= f32(c.DOMINANT)) | (gap >= f32(c.RESOLVED_GAP))
@@ -300,8 +303,9 @@ def identify(df: DataFrame, text_col: str = "text", options: IdentifyOptions = I
         .when(foreign, F.array(F.lit("Input uses scripts that are not in the supported set")))
         .otherwise(F.concat(signal_reasons(ml), F.array(F.col("verdict.note"))))
     )
+    # The row's own columns come back in a step of their own, so that their names meet none of the signals'.
     out = done.select(
-        "_row.*",
+        "_row",
         only_live(variants, none).alias("candidates"),
         only_live(F.col("verdict.primary"), F.lit(None)).alias("primary_language"),
         only_live(primary_variant(F.col("fine"), F.get(F.col("macros"), 0)["language"]), F.lit(None)).alias("primary_variant"),
@@ -310,7 +314,7 @@ def identify(df: DataFrame, text_col: str = "text", options: IdentifyOptions = I
         F.col("norm").alias("normalized_text"),
         *([only_live(F.col("spans"), F.array().cast(kernel.SEGMENT)).alias("segments")] if options.segments else []),
     )
-    return out.select(*held, *(r for r in RESULT if r in out.columns))
+    return out.select("_row.*", *(r for r in RESULT if r in out.columns))
 
 
 def joined_lines(df: DataFrame, id_col: str, order_col: str, text_col: str = "text") -> DataFrame:

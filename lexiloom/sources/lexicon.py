@@ -14,7 +14,7 @@ MOST_WORDS = 10_000
 #: A seed of everyday words, the most frequent first.
 SEED = {
     "en": "the of and to in is that it was for on are as with be this from at by not or an you have teacher student school language world university",
-    "fr": "le la les de des un une et est que qui dans pour sur ce je vous nous pas avec plus chat table bonjour merci école langue matin",
+    "fr": "le la les de des un une et est que qui dans pour sur ce je vous nous pas avec plus chat table bonjour merci école langue voudrais manger près fenêtre matin",
     "vi": "là và của không có người tôi học sinh giáo viên đại tiếng việt nhật thanh nhanh trong",
     "ja": "の は を に が と で 先生 大学 日本 日本語 教師 学生 言葉",
     "ko": "는 은 이 가 을 선생님 학생 대학 한국어",
