@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lexiloom.llm import minhash, packing, pii, suffix, toxicity
 from lexiloom.llm.common import DOC_COLUMNS, saved, table
 
+#: Bytes of a string that counts as a repeated passage: what passages of 50 words have at least.
+PASSAGE = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic by a grammar learned from the labels that are not held out."""
@@ -24,8 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur more than once in what is left."""
-    return suffix.without_repeats(docs)
+    """Texts without the strings of PASSAGE bytes that occur more than once in what is left."""
+    return suffix.without_repeats(docs, PASSAGE)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

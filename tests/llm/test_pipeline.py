@@ -20,7 +20,7 @@ def test_stages(spark, sf_dir):
             assert set(b) == {r["doc_id"] for r in minhash.near_duplicates(before).collect() if r["kept"]} and all(a[i] == t for i, t in b.items())
         elif name == "repeated strings":
             assert set(b) == set(a)
-            assert {r["doc_id"]: r["kept_text"] for r in suffix.repeated_strings(before).collect()} == b
+            assert {r["doc_id"]: r["kept_text"] for r in suffix.repeated_strings(before, corpus_pipeline.PASSAGE).collect()} == b
         else:
             assert set(b) == set(a) and pii.replace_personal_data(now.limit(0)).collect() == []
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
