@@ -66,4 +66,5 @@ ML = (0.30, 0.30)
 DOMINANT, RESOLVED_GAP, MIXED_FLOOR, MIXED_CEILING, MIXED_VISIBLE, KEEP_FLOOR = 0.95, 0.30, 0.20, 0.70, 4, 0.01
 ML_UNSUPPORTED = 0.50
 SENTENCES = 50
+SENTENCE_END = r"(?<=[.!?。！？])"
 SENTENCE = r"[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$"

@@ -116,8 +116,9 @@ def ending_hits(norm: Column, high: Column) -> dict[str, Column]:
 
 
 def sentences(norm: Column) -> Column:
-    pieces = F.regexp_extract_all(norm, F.lit(f"({c.SENTENCE})"), F.lit(1))
-    return F.slice(F.filter(F.transform(pieces, lambda s: F.ltrim(s)), lambda s: s != ""), 1, c.SENTENCES)
+    # Pieces end after a terminator; those beyond the last that counts stay one piece, which isn't looked through.
+    pieces = F.slice(F.split(norm, c.SENTENCE_END, c.SENTENCES + 1), 1, c.SENTENCES)
+    return F.filter(F.transform(pieces, lambda s: F.ltrim(s)), lambda s: s != "")
 
 
 def sentence_language(s: Column) -> Column:

@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..sources.lexicon import Lexicon
@@ -36,8 +37,22 @@ FIELDS = (
 )
 
 
+#: Decisions on runs of letters that a worker keeps; beyond it starts anew.
+DECIDED = 100_000
+
+
 def attributed(token: str, lexicon: Lexicon) -> str | None:
     """The language of a run of Latin letters, None if neither letters nor lexicons tell."""
+    try:
+        return lexicon.decided[token]
+    except KeyError:
+        if len(lexicon.decided) >= DECIDED:
+            lexicon.decided.clear()
+        lexicon.decided[token] = lang = _decide(token, lexicon)
+        return lang
+
+
+def _decide(token: str, lexicon: Lexicon) -> str | None:
     if _VI.search(token):
         return "vi"
     if _FR.search(token):
@@ -212,32 +227,45 @@ def tokens(text: str, lang: str, lexicon: Lexicon) -> list[tuple[str, int, int]]
 
 
 SEGMENT = "array<struct<language:string,start:int,end:int,text:string,tokens:array<struct<text:string,start:int,end:int>>>>"
+_TOKEN_ARROW = pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _segments(norm: str, vi: int, fr: int, strategy: str, lexicon: Lexicon, tokenize: bool) -> list[dict]:
+def segments(norm: str, vi: int, fr: int, strategy: str, lexicon: Lexicon) -> list[tuple[str, int, int, str]]:
+    """(tag, start, end, text) of the segments of a text, with byte offsets."""
     found = spans(norm, vi, fr, strategy, lexicon)
+    if norm.isascii():
+        return [(lang, a, b, norm[a:b]) for lang, a, b in found]
     out, byte, at = [], 0, 0
     for lang, a, b in found:
         start = byte + len(norm[at:a].encode())
         text = norm[a:b]
-        end = start + len(text.encode())
-        byte, at = end, b
-        words = None
-        if tokenize:
-            offset = [start]
-            for ch in text:
-                offset.append(offset[-1] + len(ch.encode()))
-            words = [{"text": w, "start": offset[x], "end": offset[y]} for w, x, y in tokens(text, lang, lexicon)]
-        out.append({"language": lang, "start": start, "end": end, "text": text, "tokens": words or None})
+        byte, at = start + len(text.encode()), b
+        out.append((lang, start, byte, text))
     return out
 
 
+def segment_tokens(text: str, start: int, lang: str, lexicon: Lexicon) -> list[dict] | None:
+    """The tokens of a segment that starts at byte start, None if there are none."""
+    offset = [start]
+    for ch in text:
+        offset.append(offset[-1] + len(ch.encode()))
+    return [{"text": w, "start": offset[a], "end": offset[b]} for w, a, b in tokens(text, lang, lexicon)] or None
+
+
 def segments_udf(lexicon: Lexicon, tokenize: bool = False):
     """Column function (normalized text, vi markers, fr markers, Han strategy) -> SEGMENT, with byte offsets."""
 
-    @F.pandas_udf(SEGMENT)
-    def extract(norm: pd.Series, vi: pd.Series, fr: pd.Series, strategy: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else _segments(x, a, b, s, lexicon, tokenize) for x, a, b, s in zip(norm, vi, fr, strategy)], dtype=object)
+    @F.arrow_udf(SEGMENT)
+    def extract(norm: pa.Array, vi: pa.Array, fr: pa.Array, strategy: pa.Array) -> pa.Array:
+        sizes, rows = [0], []
+        for x, a, b, s in zip(*(v.to_pylist() for v in (norm, vi, fr, strategy))):
+            if x:
+                rows += segments(x, a, b, s, lexicon)
+            sizes.append(len(rows))
+        langs, starts, ends, texts = zip(*rows) if rows else ((), (), (), ())
+        words = [segment_tokens(t, a, lang, lexicon) for lang, a, _, t in rows] if tokenize else [None] * len(rows)
+        parts = [pa.array(langs, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.array(words, pa.list_(_TOKEN_ARROW))]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["language", "start", "end", "text", "tokens"]))
 
     return extract
 

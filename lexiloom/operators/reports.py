@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,6 @@ def status_by_language(done: DataFrame, lang: str = "lang") -> DataFrame:
 
 def confusion(done: DataFrame, lang: str = "lang") -> DataFrame:
     """Declared against identified language, with the share of the declared."""
-    from pyspark.sql import Window
-
     n = done.groupBy(F.col(lang).alias("lang"), F.coalesce("primary_language", F.lit("none")).alias("identified")).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang")), 6))
 

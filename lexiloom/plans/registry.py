@@ -214,7 +214,8 @@ def variants_of(spark, sf_dir):
 
 def identify_json(spark, sf_dir):
     made = identify(texts(spark, sf_dir)).select("doc_id", result_json().alias("json"))
-    return made.select("doc_id", *(F.get_json_object("json", f"$.{k}").alias(k) for k in ("status", "primaryLanguage", "primaryVariant", "normalizedText")))
+    keys = ["status", "primaryLanguage", "primaryVariant", "normalizedText"]
+    return made.select("doc_id", F.json_tuple("json", *keys).alias(*keys))
 
 
 def corpus_words(spark, sf_dir):

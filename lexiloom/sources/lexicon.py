@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.charsets import LATIN, LEXICON_TAGS, LZH_WORDS, TOP_WORDS, YUE_WORDS
@@ -65,8 +65,6 @@ def corpus_lexicon(docs: DataFrame, text: str = "text", lang: str = "lang", most
     """
     words = docs.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"([{LATIN}]{{2,}})"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "rank", "word", "n")
 
@@ -97,6 +95,7 @@ class Lexicon:
                 top.setdefault(w, []).append(lang)
         self.tags = {w: tuple(v) for w, v in found.items()}
         self.top = {w: tuple(dict.fromkeys(v)) for w, v in top.items()}
+        self.decided: dict[str, str | None] = {}
 
     @classmethod
     def of(cls, lexicon: DataFrame | None) -> "Lexicon":
