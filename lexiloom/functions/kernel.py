@@ -111,9 +111,11 @@ def lexical(norm: str, lexicon: Lexicon) -> list[int]:
 def lexical_udf(lexicon: Lexicon):
     """Column function: the struct of FIELDS of a normalized text."""
 
-    @F.pandas_udf(", ".join(f"`{f}` int" for f in FIELDS))
-    def score(norm: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([lexical(x or "", lexicon) for x in norm], columns=FIELDS, dtype="int32")
+    @F.arrow_udf("struct<" + ",".join(f"`{f}`:int" for f in FIELDS) + ">")
+    def score(norm: pa.Array) -> pa.Array:
+        rows = [lexical(x or "", lexicon) for x in norm.to_pylist()]
+        columns = zip(*rows) if rows else [()] * len(FIELDS)
+        return pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in columns], FIELDS)
 
     return score
 
