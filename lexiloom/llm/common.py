@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,6 +57,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_by_hash(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """The `most` rows of df with the smallest hashes of columns: a sample that is the same on every run.
+
+    Of many rows only those below a bound, which about a quarter more than `most` pass, are sorted.
+    """
+    h = F.xxhash64(*columns)
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(h <= int(2**64 * 1.25 * max(most, 1000) / n) - 2**63)
+    return df.orderBy(h, *columns).limit(most)
+
+
 # --- hashing -------------------------------------------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

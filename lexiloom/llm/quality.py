@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import Words, table
+from .common import Words, least_by_hash, table
 
 #: Labelled rows that the list is learned from, those with the smallest hash of doc_id if there are more.
 LABELLED = 20_000
@@ -174,7 +174,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, order: np.ndarray, precisio
 def learned_rules(stats: DataFrame, labels: DataFrame, most_rows: int = LABELLED) -> list[Rule]:
     """Rules learned from the statistics of labelled documents, at most most_rows of them; without labels of both kinds none."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    known = least_by_hash(known, most_rows, "doc_id")
     rows = stats.join(F.broadcast(known), "doc_id").select("doc_id", "quality", F.xxhash64("doc_id").alias("order"), *_COUNTS).orderBy("doc_id", *_COUNTS).toPandas()
     if rows["quality"].nunique() < 2:
         return []
@@ -199,7 +199,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED)
     are ignored, an empty table gives an empty result.  Labels, ids and sources are no input of a verdict.
     """
     stats = text_statistics(docs)
-    few = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    few = least_by_hash(labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), most_rows, "doc_id")
     sample = text_statistics(docs.join(F.broadcast(few.withColumnRenamed("doc_id", "_labelled")), F.col("doc_id") == F.col("_labelled"), "left_semi"))
     rules = learned_rules(sample, labels, most_rows)
     return judge(stats, rules)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, _BYTE, batched, int64s, mix, parallelism, powers, saved, table, utf8
+from .common import _BYTE, DOC_COLUMNS, batched, int64s, least_by_hash, mix, parallelism, powers, saved, table, utf8
 
 LENGTH = 400
 GRAM = 8
@@ -437,7 +437,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET
     live = saved(single.join(twice, "h").select("k", "at"), "live")
     buckets = min(MOST_BUCKETS, live.count() // bucket + 1)
     begin = found.select(F.explode(F.arrays_zip("begin", "begin_h")).alias("b")).select("b.begin", F.col("b.begin_h").alias("h")).join(twice, "h", "left_semi")
-    sample = sorted(bytes(r["begin"]) for r in begin.orderBy(F.xxhash64("begin", "h")).limit(MOST_BUCKETS).collect())
+    sample = sorted(bytes(r["begin"]) for r in least_by_hash(saved(begin, "begins"), MOST_BUCKETS, "begin", "h").collect())
     cuts = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
     marked = _marked(live.select("k").distinct())
     test = marked("_k")

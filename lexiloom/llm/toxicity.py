@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, batched, saved, shingle_sets, table, utf8
+from .common import DOC_COLUMNS, batched, least_by_hash, saved, shingle_sets, table, utf8
 
 #: Labelled rows that the stems and weights are learned from, those with the smallest hash of doc_id if there are more.
 LABELLED = 12_000
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Grammar:
     Of a document's labels the highest toxic holds; null labels and ids are no labels.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("_doc"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("_doc")))
-    known = known.groupBy("_doc").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_doc"), "_doc").limit(most)
+    known = least_by_hash(known.groupBy("_doc").agg(F.max("toxic").alias("toxic")), most, "_doc")
     sample = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_doc")
     sample = saved(sample.select("text", "toxic"), "labelled")
     grammar = Grammar(learned_stems(sample))
