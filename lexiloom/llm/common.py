@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,12 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     if _own_dir is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        made = tempfile.mkdtemp(prefix="lexiloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _own_dir = "file://" + made
     return _own_dir
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lexiloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_saved(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that haven't been written are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
