@@ -10,10 +10,24 @@ from .sources.lexicon import corpus_lexicon, read_lexicon, read_word_lists, seed
 from .streaming.stream import identify_stream, language_mix
 
 __all__ = [
-    "IdentifyOptions", "corpus_lexicon", "identify", "identify_json", "identify_lines", "identify_stream", "language_mix", "macro_of", "normalized", "read_lexicon", "read_word_lists", "result_json", "seed_lexicon", "variants_of",
+    "IdentifyOptions", "corpus_lexicon", "create_identified_view", "identify", "identify_json", "identify_lines", "identify_stream", "language_mix", "macro_of", "normalized", "read_lexicon", "read_word_lists", "register_functions", "result_json", "seed_lexicon", "variants_of",
 ]
 
 
+def create_identified_view(spark, source: str, name: str, text_col: str = "text", options: IdentifyOptions = IdentifyOptions()) -> None:
+    """A temporary view of a table or view with its rows' results and their JSON, for SQL and other languages' clients."""
+    identify_json(spark.table(source), text_col, options).createOrReplaceTempView(f"{name}_json")
+    identify(spark.table(source), text_col, options).createOrReplaceTempView(name)
+
+
+def register_functions(spark) -> None:
+    """SQL functions macro_of(tag) and variants_of(macro)."""
+    listed = ", ".join(f"'{t}'" for t in SINITIC)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION macro_of(tag STRING) RETURNS STRING RETURN CASE WHEN tag IN ({listed}) THEN 'zh' ELSE tag END")
+    cases = " ".join(f"WHEN '{m}' THEN array({', '.join(map(repr, v))})" for m, v in VARIANTS.items())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION variants_of(macro STRING) RETURNS ARRAY<STRING> RETURN CASE macro {cases} ELSE cast(array() AS ARRAY<STRING>) END")
+
+
 def macro_of(tag: str) -> str:
     return "zh" if tag in SINITIC else tag
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,5 +16,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        made = tempfile.mkdtemp(prefix="lexiloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        top = "file://" + made
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexiloom.api import IdentifyOptions, identify, identify_json, identify_lines, macro_of, read_word_lists, variants_of
+from lexiloom.api import IdentifyOptions, create_identified_view, identify, identify_json, identify_lines, macro_of, read_word_lists, register_functions, variants_of
 from lexiloom.plans import fixtures
 
 
@@ -110,6 +110,15 @@ def test_json_leaves_absent_values_out(spark):
     assert b["primaryLanguage"] == "en" and "tokens" not in b["segments"][0] and b["candidates"][0]["variants"] == ["en"]
 
 
+def test_sql_surface(spark):
+    register_functions(spark)
+    assert spark.sql("SELECT macro_of('yue') a, macro_of('es') b, size(variants_of('zh')) c, size(variants_of('es')) d").first()[:] == ("zh", "es", 9, 0)
+    spark.createDataFrame([(1, "Hello world")], "id int, text string").createOrReplaceTempView("plain_texts")
+    create_identified_view(spark, "plain_texts", "told")
+    assert spark.sql("SELECT primary_language FROM told WHERE status = 'resolved'").first()[0] == "en"
+    assert spark.sql("SELECT json FROM told_json").first()[0].startswith('{"candidates"')
+
+
 def test_tags():
     assert macro_of("yue") == "zh" and macro_of("es") == "es" and len(variants_of("zh")) == 9 and variants_of("de") == []
 
