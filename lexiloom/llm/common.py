@@ -125,24 +125,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+#: Bytes that are hashed at once; longer texts are cut between words.
+PIECE = 1 << 21
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of several texts: hash of each, and first[i]:first[i + 1] are those of text i."""
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        joined = b" ".join(texts) + b" "
-        raw = np.frombuffer(joined, np.uint8)
-        if lower:
-            raw = _LOWER[raw]
-        space = _WS[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-        self.start, self.end = edge[0::2], edge[1::2]
-        power, inverse = powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.raw = raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        starts, hashes, a = [], [], 0
+        while a < len(raw):
+            b = min(a + PIECE, len(raw))
+            while b < len(raw) and not _WS[raw[b - 1]]:  # a piece ends with white space
+                step = np.flatnonzero(_WS[raw[b : b + PIECE]])
+                b += int(step[0]) + 1 if len(step) else len(raw[b : b + PIECE])
+            piece = _LOWER[raw[a:b]] if lower else raw[a:b]
+            edge = np.flatnonzero(np.diff(np.concatenate(([True], _WS[piece])).view(np.int8)))
+            start, end = edge[0::2], edge[1::2]
+            power, inverse = powers(len(piece) + 1)
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_BYTE[piece] * power[: len(piece)], out=total[1:])
+            hashes.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
+            starts.append(start + a)
+            a = b
+        self.start, self.hash = np.concatenate(starts), np.concatenate(hashes)
         offset = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, offset)
-        self.raw = raw
 
 
 _SHINGLE = constants(5, 64)

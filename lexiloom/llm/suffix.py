@@ -38,6 +38,8 @@ RUN_BYTES = 24 << 20
 MOST_BUCKETS = 20_000
 #: Members of a group that are compared within the task; larger groups go through a shuffle by window.
 GROUP = 60_000
+#: Bytes of texts whose anchors are looked for at once.
+PIECE = 1 << 19
 #: Bits of the map of documents that hold a candidate: a proven bound on what is broadcast, 4 MB.
 MAP_BITS = 25
 
@@ -82,33 +84,40 @@ def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
-def _find(batches, length: int):
-    """For each text its anchors with a hash of the bytes that equal windows share after the anchor, and now and then these bytes' beginning."""
+def _hashed(texts: list[bytes], length: int):
+    """(anchors, hash of the bytes that equal windows share after each) of texts that are small together."""
     shared = length - _reach(length)
+    total, inverse = _prefix(np.frombuffer(b"".join(texts), np.uint8))
+    offset = 0
+    for text, at in zip(texts, anchors(texts, length)):
+        yield at, mix((total[at + offset + shared] - total[at + offset]) * inverse[at + offset]) if len(at) else np.empty(0, np.uint64)
+        offset += len(text)
+
+
+def hashed_anchors(texts: list[bytes], length: int):
+    """As _hashed(); a long text in pieces that overlap by a window."""
+    for a, b in batched(texts, PIECE):
+        small = [t if len(t) <= 2 * PIECE else b"" for t in texts[a:b]]
+        for text, found in zip(texts[a:b], _hashed(small, length)):
+            if len(text) > 2 * PIECE:
+                parts = [(at + p, h) for p in range(0, len(text), PIECE) for at, h in _hashed([text[p : p + PIECE + length - 1]], length)]
+                at, once = np.unique(np.concatenate([x for x, _ in parts]), return_index=True)
+                found = at, np.concatenate([h for _, h in parts])[once]
+            yield found
+
+
+def _find(batches, length: int):
+    """For each text its anchors with their hashes, and now and then the beginning of an anchor's suffix."""
     for batch in batches:
         texts = utf8(batch.column(1))
         rows = []
-        for a, b in batched(texts):
-            part = texts[a:b]
-            found = anchors(part, length)
-            total, inverse = _prefix(np.frombuffer(b"".join(part), np.uint8))
-            offset = 0
-            for k, (text, at) in enumerate(zip(part, found)):
-                if len(at):
-                    h = mix((total[at + offset + shared] - total[at + offset]) * inverse[at + offset])
-                    some = np.flatnonzero(mix(h) % np.uint64(64) == 0)
-                    rows.append((batch.column(0)[a + k].as_py(), at.astype(np.int32), int64s(h), [text[p : p + 32] for p in at[some]], int64s(h[some])))
-                offset += len(text)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-                pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                pa.array([r[3] for r in rows], pa.list_(pa.binary())),
-                pa.array([r[4] for r in rows], pa.list_(pa.int64())),
-            ],
-            names=["k", "at", "h", "begin", "begin_h"],
-        )
+        for k, text, (at, h) in zip(batch.column(0).to_pylist(), texts, hashed_anchors(texts, length)):
+            if len(at):
+                some = np.flatnonzero(mix(h) % np.uint64(64) == 0)
+                rows.append((k, at.astype(np.int32), int64s(h), [text[p : p + 32] for p in at[some]], int64s(h[some])))
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        columns = zip(*rows) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["k", "at", "h", "begin", "begin_h"])
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:

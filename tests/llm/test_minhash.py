@@ -1,6 +1,6 @@
 import re
 
-from lexiloom.llm import minhash
+from lexiloom.llm import common, minhash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -62,6 +62,14 @@ def test_odd_rows(documents, odd_texts, clashing):
     assert minhash.near_duplicates(documents([])).collect() == []
 
 
+def test_words_of_long_texts(prose, monkeypatch):
+    texts = [prose(1, 500).encode(), b"", b"x" * 900 + b" y", b"\n a\tb \n", prose(2, 300).encode()]
+    whole = common.Words(texts, True)
+    monkeypatch.setattr(common, "PIECE", 64)
+    pieces = common.Words(texts, True)
+    assert whole.hash.tolist() == pieces.hash.tolist() and whole.first.tolist() == pieces.first.tolist()
+
+
 def test_keep_one(documents, prose):
     df = documents(family(prose, 900, 5) + [prose(1, 50), None])
     assert sorted(r["doc_id"] for r in minhash.keep_one(df).collect()) == [0, 5, 6]

@@ -50,6 +50,14 @@ def test_small_runs_buckets_and_groups(documents, tangled):
     assert run(documents(tangled).repartition(5), length=100, bucket=20, run_bytes=4000, group=2) == brute(tangled, 100)
 
 
+def test_pieces_of_long_texts(prose, monkeypatch):
+    texts = [(prose(i, 700) + "y" * 300).encode() for i in range(3)] + [b"", b"short"]
+    whole = list(suffix.hashed_anchors(texts, 100))
+    monkeypatch.setattr(suffix, "PIECE", 200)
+    for (a, h), (b, g) in zip(whole, suffix.hashed_anchors(texts, 100)):
+        assert a.tolist() == b.tolist() and h.tolist() == g.tolist()
+
+
 def test_runs_merge_in_order():
     rng = random.Random(1)
     keys = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))).encode() for _ in range(400)]
