@@ -186,7 +186,8 @@ def candidate_blocks(reps: DataFrame, threshold: float, trees: int = TREES, leaf
     rows = reps.select("id", "sig").mapInArrow(lambda b: _branch(b, threshold, trees), "key long, id long")
     for level in range(1, depth + 1):
         rows = saved(rows, "paths") if level == 1 else rows
-        count = rows.groupBy("key").count().where("count > 1")
+        # Written first, so that the join has plain exchanges on both sides and a hot key's rows can be split.
+        count = saved(rows.groupBy("key").count().where("count > 1"), "counts")
         live = saved(rows.join(count, "key").join(reps, "id").select("key", "count", "id", "n", "sig"), "nodes")
         small = live.where(F.col("count") <= leaf).select("key", "id", "n", "sig").repartition("key").sortWithinPartitions("key", "id")
         found = small.mapInArrow(lambda b: _leaves(b, threshold), "a long, b long")
@@ -194,9 +195,9 @@ def candidate_blocks(reps: DataFrame, threshold: float, trees: int = TREES, leaf
         some = bool(large.take(1))
         if some:
             pivot = large.groupBy("key").agg(F.min(F.struct("id", "n", "sig")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sig").alias("pivot_sig"))
-            tested = saved(large.join(pivot, "key").mapInArrow(lambda b: _alike(b, threshold), "key long, id long, sig binary, pivot long, alike double"), "tested")
+            tested = saved(large.join(saved(pivot, "pivots"), "key").mapInArrow(lambda b: _alike(b, threshold), "key long, id long, sig binary, pivot long, alike double"), "tested")
             dense = tested.groupBy("key").agg((F.avg("alike") >= (0.0 if level == depth else 0.5)).alias("dense"))
-            tested = tested.join(dense, "key")
+            tested = tested.join(saved(dense, "dense"), "key")
             found = found.union(tested.where("dense and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         found = saved(found.distinct(), "links")
         links = found if links is None else links.union(found)
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, trees: int =
     spark = docs.sparkSession
     made = saved(sketches(docs, k), "sketches")
     full = made.where("doc_id is not null and n > 0")
-    rep = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+    rep = saved(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     of = saved(full.select("doc_id", "h1", "h2", "n").join(rep, ["h1", "h2", "n"]).select("doc_id", "h1", "n", "rep").distinct(), "reps")
     chosen = made.join(of.where("doc_id = rep").select("doc_id", "h1", "n"), ["doc_id", "h1", "n"], "left_semi").dropDuplicates(["doc_id", "h1", "n"])
     reps = saved(chosen.select(F.col("doc_id").alias("id"), "n", "sig"), "chosen")

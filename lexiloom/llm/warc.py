@@ -117,7 +117,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8"))).withColumn("rid", F.monotonically_increasing_id())
     rows = rows.withColumn("long", F.octet_length(F.coalesce("html", F.lit(""))) >= LEAST_REVISIT)
     groups = rows.where("long").groupBy("digest").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("p"), "rid", "page_id")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    dealt = rows.join(groups.withColumn("long", F.lit(True)), ["digest", "long"], "left")
+    # Written first, so that the join has plain exchanges on both sides and a hot payload's rows can be split.
+    dealt = rows.join(saved(groups.withColumn("long", F.lit(True)), "payloads"), ["digest", "long"], "left")
     dealt = dealt.select("page_id", "url", "html", "digest", F.when(F.col("n") > 1, F.coalesce("top.page_id", F.lit(-(2**63)))).alias("original"), F.coalesce(F.col("top.rid") == F.col("rid"), F.lit(False)).alias("is_original"))
     return saved(dealt.mapInArrow(lambda b: _write(b, folder), "path string, records long"), "archives")
 
