@@ -200,7 +200,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED)
     """
     stats = text_statistics(docs)
     few = least_by_hash(labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), most_rows, "doc_id")
-    sample = text_statistics(docs.join(F.broadcast(few.withColumnRenamed("doc_id", "_labelled")), F.col("doc_id") == F.col("_labelled"), "left_semi"))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id", "left_semi")
+    # Of several texts of a document one is read, so that the sample's bound holds.
+    sample = text_statistics(labelled.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     rules = learned_rules(sample, labels, most_rows)
     return judge(stats, rules)
 

@@ -233,6 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Grammar:
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("_doc"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("_doc")))
     known = least_by_hash(known.groupBy("_doc").agg(F.max("toxic").alias("toxic")), most, "_doc")
     sample = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_doc")
+    # Of several texts of a document one is read, so that the sample's bound holds.
+    sample = sample.groupBy("_doc").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     sample = saved(sample.select("text", "toxic"), "labelled")
     grammar = Grammar(learned_stems(sample))
     rows = sample.select("text", "toxic").mapInArrow(lambda b: _features(b, grammar), "toxic int, f0 double, f1 double").toPandas().sort_values(["toxic", "f0", "f1"])
