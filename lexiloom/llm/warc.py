@@ -259,7 +259,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def captures(archives: DataFrame, payload: bool = False) -> DataFrame:
     """assemble() of the archives with page_id, and for a revisit the page and the length of the payload that it refers to."""
-    made = assemble(read_records(archives, payload)).withColumn("fields", F.from_json("metadata.fields", "map<string,string>"))
+    # Written once: the archives are read once, and joins know the true size of what they join.
+    records = saved(read_records(archives, payload), "records")
+    made = assemble(records).withColumn("fields", F.from_json("metadata.fields", "map<string,string>"))
     made = saved(made.withColumn("page_id", F.col("fields")["pageId"].cast("long")).where("main is not null"), "captures")
     full = made.where("main.record_type = 'response'").select(F.col("capture_id").alias("of"), F.col("page_id").alias("of_page"), F.col("main.payload_bytes").alias("of_bytes"))
     plain = made.where("main.refers_to is null").select("*", F.lit(None).cast("string").alias("of"), F.lit(None).cast("long").alias("of_page"), F.lit(None).cast("long").alias("of_bytes"))
