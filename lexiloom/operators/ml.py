@@ -9,14 +9,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text that the classifier reads: as many tell its language.
-READ = 1000
 FEATURES = 1 << 14
 TOP_K = 5
 
 
 def _letters(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_letters", F.split(F.lower(F.left(F.coalesce(F.col(text), F.lit("")), F.lit(READ))), ""))
+    return df.withColumn("_letters", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), ""))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> PipelineModel:
