@@ -24,7 +24,13 @@ _NO_SEGMENTS = IdentifyOptions(segments=False)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than cores, dealt out to all cores; larger tables are read as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
