@@ -13,6 +13,8 @@ from lexiloom.llm.common import DOC_COLUMNS, saved, table
 
 #: Bytes of a string that counts as a repeated passage: what passages of 50 words have at least.
 PASSAGE = 200
+#: Least similarity of near duplicates, in percent of shingles; op1's own contract is tighter.
+ALIKE = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    return minhash.keep_one(docs.select(DOC_COLUMNS))
+    return minhash.keep_one(docs.select(DOC_COLUMNS), percent=ALIKE)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import corpus_pipeline
 from lexiloom.llm import minhash, packing, pii, suffix, toxicity
 from lexiloom.llm.common import DOC_COLUMNS
+from test_minhash import brute, family
 
 
 def test_stages(spark, sf_dir):
@@ -36,3 +37,13 @@ def test_run_and_odd_tables(spark, sf_dir, documents, odd_texts):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, sf_dir)
         assert now.count() >= (10 if texts else 0)
+
+
+def test_near_duplicates_by_brute_force(spark, sf_dir, documents, prose):
+    """The stage against all pairs at 0.8; the first two texts are 0.827 alike."""
+    base = prose(1, 100).split(" ")
+    texts = [" ".join(base), " ".join(base[:30] + ["editx"] + base[31:70] + ["edity"] + base[71:]), *family(prose, 40, 6), *(prose(100 + i, 60) for i in range(20))]
+    rows = list(enumerate(texts))
+    want, tighter = ({i for i, (_, c) in brute(rows, p).items() if i == c} for p in (80, 85))
+    assert want != tighter
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(texts), sf_dir).collect()} == want
