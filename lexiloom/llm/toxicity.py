@@ -28,6 +28,8 @@ from .common import DOC_COLUMNS, batched, least_by_hash, saved, shingle_sets, ta
 LABELLED = 12_000
 #: Stems that a model holds at most, those that occur in most toxic texts.
 STEMS = 5_000
+#: How many times the share of toxic texts with a stem must exceed that of the others.
+LIFT = 4
 REJECT = 0.7
 
 INSULTS = "idiot idiots moron morons stupid imbecile scum loser losers trash worthless pathetic disgusting clown fool fools dumb dumbass jerk vermin garbage idiote crétin imbécile connard dummkopf arschloch idiota imbécil estúpido".split()
@@ -149,20 +151,21 @@ def _stems(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())] + [pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(4)], names=["stem", "toxic", "toxic_words", "other", "other_words"])
 
 
-def _ratio(t, n, all_t, all_n):
+def _ratio(t: F.Column, n: F.Column, all_t: int, all_n: int) -> F.Column:
     """Twice the log likelihood ratio of t of all_t toxic and n of all_n other texts against one common share."""
 
     def part(k, m, share):
-        return k * np.log(np.maximum(k, 1e-9) / (m * share)) + (m - k) * np.log(np.maximum(m - k, 1e-9) / (m * (1 - share)))
+        return k * F.log(F.greatest(k, F.lit(1e-9)) / (m * share)) + (m - k) * F.log(F.greatest(m - k, F.lit(1e-9)) / (m * (1 - share)))
 
-    share = np.clip((t + n) / (all_t + all_n), 1e-9, 1 - 1e-9)
+    t, n = t.cast("double"), n.cast("double")
+    share = F.least(F.greatest((t + n) / (all_t + all_n), F.lit(1e-9)), F.lit(1 - 1e-9))
     return 2 * (part(t, all_t, share) + part(n, all_n, share))
 
 
 def learned_stems(sample: DataFrame, most: int = STEMS) -> dict[str, float]:
     """Stem -> weight: how much more often words with it stand in toxic texts, on a logarithmic scale up to 1.
 
-    Near copies count once.  A stem is taken if its likelihood ratio would hardly arise once among as many stems by
+    Near copies count once.  A stem is taken if it stands in LIFT times the share of toxic texts and its likelihood ratio would hardly arise once among as many stems by
     chance; of nested stems the shortest stays unless a longer one stands in nearly the same toxic texts.
     """
     one = sample.select("text", "toxic").mapInArrow(_families, "text string, toxic int, family long").dropDuplicates(["family", "toxic"])
@@ -173,11 +176,12 @@ def learned_stems(sample: DataFrame, most: int = STEMS) -> dict[str, float]:
     kept: dict[str, float] = {w + " ": 0.8 for w in INSULTS}
     if whole is None or not whole["toxic"] or not whole["other"]:
         return kept
-    share = whole["toxic"] / (whole["toxic"] + whole["other"])
     tried = counts.where("toxic >= 3").count()
     rare = 2 * np.log(max(tried, 10)) + 8
-    rows = counts.where((F.col("toxic") >= 3) & (F.col("toxic") > 4 * share * (F.col("toxic") + F.col("other"))) & F.col("stem").isNotNull()).orderBy(F.desc("toxic"), "stem").limit(most * 4).toPandas()
-    rows = rows[_ratio(rows["toxic"].to_numpy(float), rows["other"].to_numpy(float), whole["toxic"], whole["other"]) >= rare].head(most)
+    # Shares of the texts of either kind are compared, so that the labels' balance doesn't tell what can be learned.
+    lifted = F.col("toxic") * whole["other"] > LIFT * F.col("other") * whole["toxic"]
+    rows = counts.where((F.col("toxic") >= 3) & lifted & F.col("stem").isNotNull()).where(_ratio(F.col("toxic"), F.col("other"), whole["toxic"], whole["other"]) >= float(rare))
+    rows = rows.orderBy(F.desc("toxic"), "stem").limit(most).toPandas()
     found = {r.stem: r for r in rows.itertuples()}
     for r in counts.where(F.col("stem").isin(list(kept))).where("other >= 5 and other > toxic").select("stem").collect():
         del kept[r["stem"]]

@@ -65,3 +65,26 @@ def test_odd_rows(spark, documents, odd_texts, clashing):
     assert t.toxicity(documents([]), grammar).collect() == []
     assert t.train(documents([]), none.limit(0)).insults
     assert t.without_toxic(clashing(df), grammar).count() == len(odd_texts)
+
+
+@pytest.mark.parametrize("of_ten", [3, 5, 8])
+def test_stems_whatever_the_balance(spark, prose, of_ten):
+    """Toxic documents without a seed word are caught where labels are balanced or mostly toxic, too."""
+    docs = [(i, " ".join(("zarg" if i % 10 < of_ten and k in (5, 20, 30) else "") + w for k, w in enumerate(prose(i, 40).split(" ")))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    grammar = t.train(df, spark.createDataFrame([(i, int(i % 10 < of_ten)) for i in range(600)], "doc_id long, toxic int"))
+    assert grammar.insult("zargword") > 0
+    got = t.toxicity(df, grammar).where("held_out").collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 10 < of_ten) for r in got) >= 0.97 * len(got)
+
+
+def test_ratio_test_comes_before_the_limit(spark):
+    """Stems of more toxic texts that fail the ratio test don't take the place of one that passes it."""
+    rows = []
+    for toxic in (1, 0):
+        for i in range(200):
+            words = [chr(0x4E00 + 1000 * toxic + 5 * i + k) for k in range(5)]
+            words += [f"b{c}b" for j, c in enumerate("cdefgh") if (11 * j <= i < 11 * j + 11 if toxic else 2 * j <= i < 2 * j + 2)]
+            rows.append((" ".join(words + ["zar"] * (toxic and 100 <= i < 110)), toxic))
+    stems = t.learned_stems(spark.createDataFrame(rows, "text string, toxic int"), most=1)
+    assert set(stems) - {w + " " for w in t.INSULTS} == {"zar"}
