@@ -26,3 +26,11 @@ SCORES = [
     ("... !!!", [("en", 1.0)], None),
     ("le chat est sur la table", [("fr", 1.0), ("oc", 0.5)], None),
 ]
+
+#: Confidences that stand in for a classifier's over the table: of the declared language, and of one as unsupported.
+DECLARED = (0.75, 0.5)
+
+
+def score_id(i: int) -> int:
+    """The id of row i of SCORES beside those of TEXTS."""
+    return -len(TEXTS) - 1 - i

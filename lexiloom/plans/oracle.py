@@ -242,6 +242,14 @@ _ML = {
     "contrib": _PARTS["contrib"] + f" UNION ALL SELECT doc_id, 10 + ord, tag, least({_f('0.30')} * conf, {_f('0.30')}) FROM ({_ML_SCORES})",
     "scores": f"SELECT i AS doc_id, 'Layer 9 (ML classifier) — ' || coalesce(string_agg(p, ', ' ORDER BY p), '') AS note FROM range({len(fixtures.SCORES)}) r(i) LEFT JOIN (SELECT doc_id, tag || ':' || printf('%.2f', conf) AS p FROM ({_ML_SCORES})) s ON i = doc_id GROUP BY i",
 }
+_FROM_SCORES = f"{fixtures.score_id(0)} - doc_id AS doc_id"
+_DECLARED_SCORES = f"SELECT doc_id, 0 AS ord, lang AS tag, {_f(fixtures.DECLARED[0])} AS conf FROM documents WHERE lang IS NOT NULL UNION ALL SELECT {_FROM_SCORES}, ord, tag, conf FROM ({_ML_SCORES})"
+_ML_DOCUMENTS = {
+    "input": f"{_DOC_TEXTS} UNION ALL SELECT {_FROM_SCORES}, text FROM ({_ML_TEXTS})",
+    "signals": f"SELECT doc_id, lang AS label, CAST({fixtures.DECLARED[1]} AS DOUBLE) AS conf FROM documents WHERE lang NOT IN ({_strings(c.TAGS)}) AND doc_id % 2 = 0 UNION ALL SELECT {_FROM_SCORES}, label, CAST(conf AS DOUBLE) FROM ({_ML_SIGNALS})",
+    "contrib": _PARTS["contrib"] + f" UNION ALL SELECT doc_id, 10 + ord, tag, least({_f('0.30')} * conf, {_f('0.30')}) FROM ({_DECLARED_SCORES})",
+    "scores": f"SELECT doc_id, 'Layer 9 (ML classifier) — ' || coalesce(string_agg(p, ', ' ORDER BY p), '') AS note FROM (SELECT doc_id FROM documents WHERE lang IS NOT NULL UNION ALL SELECT {_FROM_SCORES} FROM range({len(fixtures.SCORES)}) r(doc_id)) LEFT JOIN (SELECT doc_id, tag || ':' || printf('%.2f', conf) AS p FROM ({_DECLARED_SCORES})) USING (doc_id) GROUP BY doc_id",
+}
 _LINES = {"input": "SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"}
 _DECLARED = "(SELECT d.lang, d.source, v.* FROM verdict v JOIN documents d USING (doc_id))"
 
@@ -279,6 +287,7 @@ SQL = {
     "identify": _query(_IDENTIFY, "verdict"),
     "identify_lines": _query(_IDENTIFY.replace("SELECT doc_id", "SELECT doc_id AS conv_id"), "verdict", **_LINES),
     "identify_with_ml": _query("SELECT CAST(v.doc_id AS BIGINT) AS doc_id, status, primary_language, primary_variant, CAST(n_candidates AS INTEGER) AS n_candidates, top_confidence, reasons FROM verdict v JOIN told USING (doc_id)", "told", **_ML),
+    "identify_documents_with_ml": _query(f"{_IDENTIFY.split(' FROM ')[0]}, reasons FROM verdict JOIN told USING (doc_id)", "told", **_ML_DOCUMENTS),
     "macro_of": f"SELECT tag, {_macro('tag')} AS macro FROM (VALUES {_values([(t,) for t in [*c.TAGS, 'es', 'und']])}) t(tag)",
     "variants_of": f"SELECT * FROM (VALUES {_values([(m, ','.join(vs)) for m, vs in c.VARIANTS.items()] + [('es', '')])}) t(macro, variants)",
     "identify_json": _query("SELECT doc_id, status, primary_language AS primaryLanguage, primary_variant AS primaryVariant, norm AS normalizedText FROM verdict", "verdict"),

@@ -188,8 +188,8 @@ def reasons(spark, sf_dir):
 
 
 
-def _flat(done: DataFrame, key: str) -> DataFrame:
-    return done.select(key, "status", "primary_language", "primary_variant", F.size("candidates").alias("n_candidates"), F.round(F.get("candidates", F.lit(0))["confidence"].cast("double"), 2).alias("top_confidence"))
+def _flat(done: DataFrame, key: str, *more: Column) -> DataFrame:
+    return done.select(key, "status", "primary_language", "primary_variant", F.size("candidates").alias("n_candidates"), F.round(F.get("candidates", F.lit(0))["confidence"].cast("double"), 2).alias("top_confidence"), *more)
 
 
 def identify_documents(spark, sf_dir):
@@ -209,6 +209,22 @@ def identify_with_ml(spark, sf_dir):
     return _flat(done, "doc_id").join(done.select("doc_id", F.array_join("reasons", " | ").alias("reasons")), "doc_id")
 
 
+def identify_documents_with_ml(spark, sf_dir):
+    """Layer 9 over all documents, the declared language standing in for a classifier's score; unscored fixtures and those of SCORES go with them."""
+    lang = F.col("lang")
+    pair = "struct<{}:string,conf:float>"
+    known = F.array(F.struct(lang.alias("tag"), F.lit(fixtures.DECLARED[0]).cast("float").alias("conf")))
+    refused = F.struct(lang.alias("label"), F.lit(fixtures.DECLARED[1]).cast("float").alias("conf"))
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "text", F.when(lang.isNotNull(), known).cast(f"array<{pair.format('tag')}>").alias("scores"),
+        F.when(~lang.isin(c.TAGS) & (F.col("doc_id") % 2 == 0), refused).cast(pair.format("label")).alias("unsupported"),
+    )
+    rows = [(i, t, None, None) for i, t in fixtures.rows()] + [(fixtures.score_id(i), *r) for i, r in enumerate(fixtures.SCORES)]
+    df = docs.union(spark.createDataFrame(rows, docs.schema))
+    done = identify(df, options=IdentifyOptions(ml_scores="scores", unsupported="unsupported", segments=False))
+    return _flat(done, "doc_id", F.array_join("reasons", " | ").alias("reasons"))
+
+
 def macro_of(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in [*c.TAGS, "es", "und"]], "tag string").select("tag", x.macro_of(F.col("tag")).alias("macro"))
 
@@ -254,7 +270,7 @@ QUERIES = {
     "cjk_endings": cjk_endings, "sentences": sentences, "sentence_language": sentence_language, "context_signal": context_signal, "resolve_zh": resolve_zh, "openlid_map": openlid_map,
     "han_strategy": han_strategy, "han_run_overrides": han_run_overrides, "segments": segments, "segment_tokens": segment_tokens, "script_weights": script_weights, "fine_distribution": fine_distribution,
     "macro_candidates": macro_candidates, "primary_variant": primary_variant, "calibrated_status": calibrated_status, "reasons": reasons, "identify": identify_documents,
-    "identify_lines": identify_conversations, "identify_with_ml": identify_with_ml, "macro_of": macro_of, "variants_of": variants_of, "identify_json": identify_json, "corpus_lexicon": corpus_words,
+    "identify_lines": identify_conversations, "identify_with_ml": identify_with_ml, "identify_documents_with_ml": identify_documents_with_ml, "macro_of": macro_of, "variants_of": variants_of, "identify_json": identify_json, "corpus_lexicon": corpus_words,
     "status_by_declared_lang": status_by_declared_lang, "language_rollup": language_rollup, "lang_confusion": lang_confusion, "ml_classifier": ml_classifier, "stream_identify": stream_identify,
 }
 SQL = oracle.SQL

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lexiloom.plans import registry
+from lexiloom.plans import fixtures, registry
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +36,13 @@ def test_every_query_but_two_has_sql():
 def test_classifier_scores(spark, sf_dir):
     rows = registry.ml_classifier(spark, sf_dir).collect()
     assert rows and all(0 <= r["conf"] <= 1 for r in rows)
+
+
+def test_layer_9_reads_the_table(spark, sf_dir):
+    """Scores weigh on, and refuse, rows of the table; test_same_rows holds each against SQL."""
+    rows = {r["doc_id"]: r for r in registry.QUERIES["identify_documents_with_ml"](spark, sf_dir).collect()}
+    langs = {r["doc_id"]: r["lang"] for r in registry.documents(spark, sf_dir).select("doc_id", "lang").collect()}
+    assert set(langs) <= set(rows) and len(rows) == len(langs) + len(fixtures.TEXTS) + len(fixtures.SCORES)
+    refused = {i for i, t in langs.items() if t in ("de", "es") and i % 2 == 0}
+    assert refused and all(rows[i]["status"] == "unsupported" and f"language '{langs[i]}'" in rows[i]["reasons"] for i in refused)
+    assert sum("Layer 9 (ML classifier) — " in rows[i]["reasons"] for i in set(langs) - refused) > 100
