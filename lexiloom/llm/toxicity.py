@@ -1,10 +1,12 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Small transducers read the words of a clause from left to right and share its state: one marks targets (the reader, a
-person, a thing pointed at), one negations and their reach, one reported speech, and one emits a weight at an insult or
-a threat.  An insult counts more after a target, less within a negation's reach, and less in reported speech; a threat
-without a target hardly counts.  A clause's weight is the sum of what is emitted, up to a bound; a text's score is
-logistic in its clauses' weights.
+Words are read as marks: insult, threat, target (the reader, a person, a thing pointed at), negation, report or other.
+Five transducers pass the marks of a clause on and weigh the insults and threats among them: insults count in full;
+threats hardly without a target in the clause; insults more with one; either less within a negation's reach; and either
+less in reported speech.  Where a target or a report may stand on either side, a transducer guesses at the clause's start
+whether one is there, and only the path that guessed right ends in a final state.  The grammar is the composition of the
+five.  A clause's weight is the sum of what its accepted path weighs, up to a bound; a text's score is logistic in its
+clauses' weights.
 
 Insults are a seed list and stems learned from labelled rows: beginnings of words that toxic texts hold far more often than
 others, by a likelihood ratio that allows for the number of stems tried.  The logistic weights are fitted to the same rows.
@@ -39,14 +41,123 @@ NEGATIONS = "not no never nobody nothing neither nor without isn't aren't wasn't
 REPORTS = "said says say wrote writes told reported claimed called calls quoted according alleged sagte schrieb dit écrit dijo escribió".split()
 #: Words after a negation within its reach.
 REACH = 3
+#: What an insult with a target in its clause, a threat without one, and either when negated or reported, count.
+TARGETED, UNTARGETED, NEGATED, REPORTED = 1.5, 0.1, 0.2, 0.4
 #: Most that one clause counts.
 CLAUSE = 3.0
+MARKS = ("insult", "threat", "target", "negation", "report", "other")
+WEIGHED = ("insult", "threat")
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CLAUSE_END = re.compile(r"[.!?;\n\r]")
 _FEATURES = 2
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """arcs: (state, mark read) -> (mark written, factor, next state) of each way to go on."""
+
+    starts: frozenset
+    finals: frozenset
+    arcs: dict
+
+    def compose(self, other: "Transducer") -> "Transducer":
+        """The transducer that reads what self reads and passes what self writes through other; factors multiply."""
+        starts = frozenset((p, q) for p in self.starts for q in other.starts)
+        arcs: dict = {}
+        states, open_ = set(starts), list(starts)
+        while open_:
+            p, q = open_.pop()
+            for read in MARKS:
+                ways = [(written, f * g, (p2, q2)) for between, f, p2 in self.arcs.get((p, read), ()) for written, g, q2 in other.arcs.get((q, between), ())]
+                if ways:
+                    arcs[(p, q), read] = ways
+                for _, _, to in ways:
+                    if to not in states:
+                        states.add(to)
+                        open_.append(to)
+        return Transducer(starts, frozenset((p, q) for p, q in states if p in self.finals and q in other.finals), arcs)
+
+    def trimmed(self) -> "Transducer":
+        """Without the states from which no final one can be reached; states are numbers."""
+        back: dict = {}
+        for (p, _), ways in self.arcs.items():
+            for _, _, to in ways:
+                back.setdefault(to, set()).add(p)
+        useful, open_ = set(self.finals), list(self.finals)
+        while open_:
+            for p in back.get(open_.pop(), ()):
+                if p not in useful:
+                    useful.add(p)
+                    open_.append(p)
+        number = {p: i for i, p in enumerate(sorted(useful, key=repr))}
+        arcs = {(number[p], m): [(w, f, number[to]) for w, f, to in ways if to in useful] for (p, m), ways in self.arcs.items() if p in useful}
+        return Transducer(frozenset(number[p] for p in self.starts if p in useful), frozenset(number[p] for p in self.finals), arcs)
+
+    def weight(self, clause: list[tuple[str, float]]) -> float:
+        """The sum, over the accepted paths of (mark, weight) pairs, of weights times factors."""
+        now = {p: (1, 0.0) for p in self.starts}
+        for mark, w in clause:
+            after: dict = {}
+            for p, (paths, value) in now.items():
+                for _, factor, to in self.arcs.get((p, mark), ()):
+                    n, v = after.get(to, (0, 0.0))
+                    after[to] = n + paths, v + value + paths * factor * w
+            now = after
+        return sum(v for p, (_, v) in now.items() if p in self.finals)
+
+
+def _loop(state, to, **factors: float) -> dict:
+    """Arcs from state to to that pass every mark on, with factors."""
+    return {(state, m): [(m, factors.get(m, 1.0), to)] for m in MARKS}
+
+
+def insult_transducer() -> Transducer:
+    return Transducer(frozenset([0]), frozenset([0]), _loop(0, 0))
+
+
+def _if_present(mark: str, **factors: tuple[float, float]) -> Transducer:
+    """Weighs marks by whether mark is anywhere in the clause: factors are (if not, if so)."""
+    arcs = _loop("none", "none", **{m: f[0] for m, f in factors.items()})
+    del arcs["none", mark]
+    for state in ("awaited", "seen"):
+        arcs |= _loop(state, state, **{m: f[1] for m, f in factors.items()})
+    arcs["awaited", mark] = [(mark, 1.0, "seen")]
+    return Transducer(frozenset(["none", "awaited"]), frozenset(["none", "seen"]), arcs)
+
+
+def threat_transducer() -> Transducer:
+    return _if_present("target", threat=(UNTARGETED, 1.0))
+
+
+def target_transducer() -> Transducer:
+    return _if_present("target", insult=(1.0, TARGETED))
+
+
+def report_transducer() -> Transducer:
+    return _if_present("report", **{m: (1.0, REPORTED) for m in WEIGHED})
+
+
+def negation_transducer() -> Transducer:
+    """The state is the number of words that the last negation still reaches."""
+    arcs = {}
+    for k in range(REACH + 1):
+        arcs |= _loop(k, max(k - 1, 0), **(dict.fromkeys(WEIGHED, NEGATED) if k else {}))
+        arcs[k, "negation"] = [("negation", 1.0, REACH)]
+    return Transducer(frozenset([0]), frozenset(range(REACH + 1)), arcs)
+
+
+def parts() -> list[Transducer]:
+    return [insult_transducer(), threat_transducer(), target_transducer(), negation_transducer(), report_transducer()]
+
+
+def composed(machines: list[Transducer]) -> Transducer:
+    out = machines[0]
+    for m in machines[1:]:
+        out = out.compose(m).trimmed()
+    return out
+
+
 @dataclass
 class Grammar:
     """insults: stem -> weight, a stem that ends in a blank being a whole word."""
@@ -63,6 +174,7 @@ class Grammar:
         self.found.make_automaton()
         self.classes = {w: "target" for w in TARGETS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS} | {w: "threat" for w in THREATS}
         self.sizes = sorted({len(s) for s in self.insults if s[-1] != " "}, reverse=True)
+        self.machine = composed(parts())
 
     def insult(self, word: str) -> float:
         known = self.insults.get(word + " ")
@@ -74,44 +186,38 @@ class Grammar:
                 return known
         return 0.0
 
-    def clause(self, words: list[str]) -> float:
-        """The weight that the transducers emit over the words of one clause."""
-        target = report = False
-        reach = 0
-        total = 0.0
+    def marks(self, words: list[str]) -> list[tuple[str, float]]:
+        """(mark, weight) of each word; a word that is an insult is no other mark, and only insults and threats weigh."""
+        out = []
         for w in words:
-            kind = self.classes.get(w)
-            if kind == "target":
-                target = True
-            elif kind == "negation":
-                reach = REACH + 1
-            elif kind == "report":
-                report = True
-            emitted = self.insult(w) * (1.5 if target else 1.0)
-            if not emitted and kind == "threat":
-                emitted = 1.0 if target else 0.1
-            if emitted:
-                if reach > 0:
-                    emitted *= 0.2
-                if report:
-                    emitted *= 0.4
-                total += emitted
-            reach -= 1
-        return min(total, CLAUSE)
+            weight = self.insult(w)
+            kind = "insult" if weight else self.classes.get(w, "other")
+            out.append((kind, weight or float(kind == "threat")))
+        return out
+
+    def clause(self, words: list[str]) -> float:
+        """What the grammar weighs the words of one clause, up to CLAUSE."""
+        marks = self.marks(words)
+        if not any(m in WEIGHED for m, _ in marks):
+            return 0.0
+        return min(self.machine.weight(marks), CLAUSE)
 
     def read(self, text: str) -> tuple[float, float]:
-        """Logs of one plus the sum of the clause weights, and of one plus what it comes to for every 600 characters."""
+        """Logs of one plus the sum of the clause weights, and of one plus what it comes to for every 600 characters.
+
+        A clause is looked for from the end of the last one on, so that every character is seen a few times only.
+        """
         text = text.lower()
-        done = -1
+        done = 0
         total = 0.0
         for last, size in self.found.iter(text):
             first = last - size + 1
             if first < done or (first and text[first - 1].isalnum()):
                 continue
-            ends = max(text.rfind(c, 0, first) for c in ".!?;\n\r")
+            ends = max(text.rfind(c, done, first) for c in ".!?;\n\r")
             stop = _CLAUSE_END.search(text, first)
-            done = stop.start() if stop else len(text)
-            total += self.clause(_WORD.findall(text, ends + 1, done))
+            begin, done = max(ends + 1, done), stop.start() if stop else len(text)
+            total += self.clause(_WORD.findall(text, begin, done))
         return float(np.log1p(total)), float(np.log1p(600 * total / max(len(text), 100)))
 
     def score(self, features) -> float:

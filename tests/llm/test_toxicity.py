@@ -1,3 +1,6 @@
+import itertools
+import random
+import time
 import zlib
 
 import pytest
@@ -12,12 +15,57 @@ def grammar():
 
 @pytest.mark.parametrize(
     "worse, better",
-    [("you idiot", "the idiot"), ("you are an idiot", "you are not an idiot"), ("you idiot", "she said you idiot"), ("i will kill you. you kill", "kill the process"), ("blergish you", "ablerg you"), ("you moron. you scum", "you moron")],
+    [("you idiot", "the idiot"), ("you are an idiot", "you are not an idiot"), ("you idiot", "she said you idiot"), ("i will kill you. you kill", "kill the process"), ("blergish you", "ablerg you"), ("you moron. you scum", "you moron"), ("idiot, you", "idiot"), ("you idiot", "you idiot, he said")],
 )
 def test_grammar_reads_clauses(grammar, worse, better):
     assert grammar.read(worse) > grammar.read(better)
 
 
+def every_path(machines, marks):
+    """The sum over all ways through all machines, one after the other, that end in final states."""
+    total = accepted = 0
+
+    def go(at, states, factors):
+        nonlocal total, accepted
+        if at == len(marks):
+            if all(s in m.finals for s, m in zip(states, machines)):
+                accepted += 1
+                total += sum(f * w for f, (_, w) in zip(factors, marks))
+            return
+
+        def through(k, mark, factor, after):
+            if k == len(machines):
+                go(at + 1, after, factors + [factor])
+                return
+            for written, f, to in machines[k].arcs.get((states[k], mark), ()):
+                through(k + 1, written, factor * f, after + [to])
+
+        through(0, marks[at][0], 1.0, [])
+
+    for starts in itertools.product(*(m.starts for m in machines)):
+        go(0, list(starts), [])
+    return accepted, total
+
+
+def test_composition_against_all_paths():
+    machine, rng = t.composed(t.parts()), random.Random(4)
+    for _ in range(300):
+        marks = [(m, rng.choice([0.5, 1.0]) if m in t.WEIGHED else 0.0) for m in rng.choices(t.MARKS, k=rng.randint(0, 7))]
+        accepted, total = every_path(t.parts(), marks)
+        assert accepted == 1 and machine.weight(marks) == pytest.approx(total)
+
+
+def test_long_texts_take_time_in_proportion(grammar):
+    def seconds(n):
+        began = time.perf_counter()
+        grammar.read("you idiot and more words of no weight " * n)
+        grammar.read("you idiot. and more words of no weight " * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(32_000) < 40 * max(seconds(2000), 0.005)
+
+
 def test_no_carrying_over_clauses(grammar):
     assert grammar.clause("not you idiot".split()) < grammar.clause("you idiot".split())
     assert grammar.read("not. you idiot") > grammar.read("not you idiot")
