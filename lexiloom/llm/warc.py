@@ -24,6 +24,8 @@ from .common import fresh_path, saved, table
 LEAST_REVISIT = 1000
 #: An archive is closed when it holds this many bytes.
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that read archives at most; a number given is not merged by adaptive execution, which sees but a few bytes of paths.
+READERS = 100_000
 _DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6b1f0f0e-5c0b-5c1e-9b57-0d9d0c1f6a11")
 
@@ -126,58 +128,100 @@ def write_archives(pages: DataFrame) -> DataFrame:
 # --- reading -------------------------------------------------------------------------------------------------------
 
 
+class Damaged(Exception):
+    """A record that can't be read whole; reading goes on behind it."""
+
+
 class _Stream:
     """Bytes of an archive, plain or of any number of gzip members, read in pieces."""
 
     def __init__(self, file):
         self.file, self.held, self.z = file, bytearray(), None
-        first = file.read(1 << 20)
-        self.packed = first[:2] == b"\x1f\x8b"
-        self.raw = first
-        self.over = False
+        self.data, self.at = file.read(1 << 20), 0
+        self.packed = self.data[:2] == b"\x1f\x8b"
 
     def more(self) -> bool:
-        data = self.raw or self.file.read(1 << 20)
-        self.raw = b""
-        if not data:
-            return False
+        """Reads on, to the end of a member at most, so that what is held is of one member but for what wasn't taken yet.
+
+        A member that can't be unpacked raises Damaged, and what follows is the next that begins like one.
+        """
+        if self.at >= len(self.data):
+            self.data, self.at = self.file.read(1 << 20), 0
+            if not self.data:
+                return False
+        piece = memoryview(self.data)[self.at : self.at + (1 << 14)]
         if not self.packed:
-            self.held += data
+            self.held += piece
+            self.at += len(piece)
             return True
-        while data:
-            if self.z is None or self.z.eof:
-                self.z = zlib.decompressobj(31)
-            self.held += self.z.decompress(data)
-            data = self.z.unused_data
+        if self.z is None or self.z.eof:
+            self.z = zlib.decompressobj(31)
+        try:
+            self.held += self.z.decompress(piece)
+        except zlib.error:
+            self.z = None
+            self.held.clear()
+            self._skip()
+            raise Damaged("a gzip member that can't be unpacked") from None
+        self.at += len(piece) - len(self.z.unused_data)
         return True
 
+    def _skip(self) -> None:
+        """To the next place that begins like a gzip member, or the end."""
+        at = self.data.find(b"\x1f\x8b\x08", self.at + 1)
+        while at < 0:
+            more = self.file.read(1 << 20)
+            self.data = self.data[-2:] + more if more else b""
+            at = self.data.find(b"\x1f\x8b\x08") if more else 0
+        self.at = at
+
     def until(self, mark: bytes) -> bytes | None:
         at, seen = -1, 0
         while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.held)
             if not self.more():
+                left = bool(self.held.strip(b"\r\n\0"))
+                self.held.clear()
+                if left:
+                    raise Damaged("an archive that ends within a record")
                 return None
         out = bytes(self.held[:at])
         del self.held[: at + len(mark)]
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n and self.more():
-            pass
+        while len(self.held) < n:
+            if not self.more():
+                self.held.clear()
+                raise Damaged("an archive that ends within a record")
         out = bytes(self.held[:n])
         del self.held[:n]
         return out
 
 
 def parse_records(file):
-    """(headers with lower-case names, block) of each record of an open archive."""
+    """(headers with lower-case names, block) of each record of an open archive.
+
+    Of a record that can't be read whole (a damaged gzip member, no Content-Length or one that is no number, an archive
+    that ends within it) the headers are {"warc-type": "damaged"} and the block tells the reason; the next begins
+    with the next record's first line.
+    """
     stream = _Stream(file)
-    while (head := stream.until(b"\r\n\r\n")) is not None:
-        lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            continue
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield headers, stream.take(int(headers.get("content-length") or 0))
+    while True:
+        try:
+            head = stream.until(b"\r\n\r\n")
+            if head is None:
+                return
+            lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                continue
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            size = headers.get("content-length", "")
+            if not re.fullmatch("[0-9]{1,18}", size):
+                raise Damaged("a Content-Length that is no number")
+            yield headers, stream.take(int(size))
+        except Damaged as why:
+            yield {"warc-type": "damaged"}, str(why).encode()
 
 
 _RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, warc_date string, payload_digest string, payload_bytes long, digest_matches boolean, http_head string, fields map<string,string>, payload binary"
@@ -232,8 +276,13 @@ def _read(batches, payload: bool):
 
 
 def read_records(archives: DataFrame, payload: bool = False) -> DataFrame:
-    """The records of the archives (path); the digest and length of a response are those of the payload that was read."""
-    return archives.select(F.col("path").cast("string").alias("path")).where("path is not null").repartition("path").mapInArrow(lambda b: _read(b, payload), _RECORD)
+    """The records of the archives (path); the digest and length of a response are those of the payload that was read.
+
+    A damaged record is a row of record_type damaged without an identifier; the others of its archive are read.
+    Every archive is a task of its own, up to READERS tasks, which then read several each.
+    """
+    paths = archives.select(F.col("path").cast("string").alias("path")).where("path is not null")
+    return paths.repartition(max(1, min(paths.count(), READERS))).mapInArrow(lambda b: _read(b, payload), _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -283,9 +332,10 @@ QUERIES = {"op5_warc_transactions": op5_warc_transactions}
 SQL = {
     "op5_warc_transactions": """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-t AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS top FROM p)
+t AS (SELECT *, payload_bytes < 1000 OR row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) = 1 AS first,
+             max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN top <> page_id THEN top END AS refers_to
+       CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT first THEN top END AS refers_to
 FROM t"""
 }

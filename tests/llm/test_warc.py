@@ -10,7 +10,8 @@ PAGES = "page_id long, url string, html string"
 
 
 def expected(rows):
-    top = {}
+    """The contract's columns; of repeated rows with the largest page_id one is the response."""
+    top, seen = {}, set()
     for p, _, h in rows:
         b = (h or "").encode()
         if len(b) >= warc.LEAST_REVISIT and p is not None:
@@ -19,7 +20,10 @@ def expected(rows):
     for p, _, h in rows:
         b = (h or "").encode()
         t = top.get(b, p) if len(b) >= warc.LEAST_REVISIT else p
-        out.append((p, len(b), hashlib.sha1(b).hexdigest(), "response" if t == p else "revisit", None if t == p else t))
+        first = len(b) < warc.LEAST_REVISIT or (t == p and b not in seen)
+        if first and len(b) >= warc.LEAST_REVISIT:
+            seen.add(b)
+        out.append((p, len(b), hashlib.sha1(b).hexdigest(), "response" if first else "revisit", None if first else t))
     return out
 
 
@@ -41,7 +45,17 @@ def test_round_trip(spark):
 
 def test_repeated_and_null_rows(spark):
     big = "x" * 1500
-    got = run(spark.createDataFrame([(1, "u", big), (1, "u", big), (None, "v", big), (None, "w", "s")], PAGES))
+    rows = [(1, "u", big), (1, "u", big), (None, "v", big), (None, "w", "s"), (2, "u", "s"), (2, "u", "s")]
+    got = run(spark.createDataFrame(rows, PAGES))
+    assert sorted(map(str, (tuple(r[:5]) for r in got))) == sorted(map(str, expected(rows)))
+    import duckdb
+    import pandas as pd
+
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
+    with duckdb.connect() as db:
+        db.register("pages", pages)
+        assert sorted(map(str, db.sql(warc.SQL["op5_warc_transactions"]).fetchall())) == sorted(map(str, expected(rows)))
+    got = run(spark.createDataFrame(rows[:4], PAGES))
     assert sorted(r["record_type"] for r in got) == ["response", "response", "revisit", "revisit"]
     assert all(r["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() for r in got if r["b"] == 1500)
     assert run(spark.createDataFrame([], PAGES)) == []
@@ -68,3 +82,33 @@ def test_records_that_lead_through_a_request(spark):
     )
     got = {r["capture_id"]: (r["main"] is not None, r["n_requests"], r["n_metadata"]) for r in warc.assemble(records).collect()}
     assert got == {"r": (True, 1, 1), "gone": (False, 0, 1)}
+
+
+def _one(name, body=b"A"):
+    return warc.record("metadata", name, [], body)
+
+
+def test_damaged_archives(spark, tmp_path):
+    """What is damaged is left out and told, and the records around it are read."""
+    good = [_one(f"urn:{i}", bytes([65 + i]) * 40_000) for i in range(4)]
+    hurt = bytearray(good[1])
+    hurt[len(hurt) // 2 :] = bytes(len(hurt) - len(hurt) // 2)
+
+    def kinds(data):
+        return [h.get("warc-record-id", h["warc-type"]) for h, _ in warc.parse_records(io.BytesIO(data))]
+
+    assert kinds(good[0] + bytes(hurt) + good[2] + good[3]) == ["<urn:0>", "damaged", "<urn:2>", "<urn:3>"]
+    assert kinds(good[0] + good[1][:-30]) == ["<urn:0>", "damaged"]
+    plain = [gzip.decompress(x) for x in good[:3]]
+    for wrong in (b"x", b"-5", b""):
+        bad = plain[1].replace(b"Content-Length: 40000", b"Content-Length: " + wrong)
+        assert kinds(plain[0] + bad + plain[2]) == ["<urn:0>", "damaged", "<urn:2>"]
+    assert kinds(plain[0] + plain[1][:100]) == ["<urn:0>", "damaged"] and kinds(b"") == []
+    (tmp_path / "a.warc.gz").write_bytes(good[0] + bytes(hurt) + good[2])
+    got = warc.read_records(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",), (None,)], "path string")).collect()
+    assert sorted(r["record_type"] for r in got) == ["damaged", "metadata", "metadata"]
+
+
+def test_every_archive_is_a_task(spark):
+    paths = spark.createDataFrame([(f"file:///no/{i}",) for i in range(37)], "path string")
+    assert warc.read_records(paths).rdd.getNumPartitions() == 37
