@@ -1,8 +1,9 @@
 """Quality rules: a learned decision list over text statistics, applied as ordered Spark conditionals.
 
 Sequential covering: a rule is a conjunction of thresholds, grown on two thirds of the labelled rows by information gain
-and pruned on the other third; rows that it covers are set aside and the next rule is grown, until none is precise
-enough.  The rules reject; what no rule covers is kept.
+and pruned on the other third.  If it is precise enough the rows that it covers are set aside; if not, its first condition
+is, and no later rule begins with it.  The next rule is grown on what is left, until no bad rows or conditions are.  Rows that
+the base rule rejects are no rows to learn from.  The rules reject; what no rule covers is kept.
 """
 
 from __future__ import annotations
@@ -117,7 +118,8 @@ def _gain(p0, n0, p, n):
         return np.where(p > 0, p * (np.log2(p / np.maximum(p + n, 1)) - np.log2(p0 / max(p0 + n0, 1))), -np.inf)
 
 
-def _grow(x, y, rows) -> list[tuple[str, bool, float]]:
+def _grow(x, y, rows, barred=frozenset()) -> list[tuple[str, bool, float]]:
+    """Conditions by gain, four at most; the first is none of the barred (feature, at_least)."""
     out: list[tuple[str, bool, float]] = []
     while len(out) < 4:
         p0, n0 = int(y[rows].sum()), int((~y[rows]).sum())
@@ -134,6 +136,8 @@ def _grow(x, y, rows) -> list[tuple[str, bool, float]]:
                 continue
             mid = (s[cut] + s[cut + 1]) / 2
             for up, p, n in ((False, cp[cut], cn[cut]), (True, p0 - cp[cut], n0 - cn[cut])):
+                if not out and (f, up) in barred:
+                    continue
                 g = _gain(p0, n0, p, n)
                 k = int(np.argmax(g))
                 if g[k] > best[0]:
@@ -147,48 +151,60 @@ def _grow(x, y, rows) -> list[tuple[str, bool, float]]:
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, order: np.ndarray, precision: float = 0.9, most: int = 12) -> list[Rule]:
-    """Rules that cover bad rows; order deals rows to the growing (not a multiple of 3) and the pruning set."""
+    """Rules that cover bad rows; order deals rows to the growing (not a multiple of 3) and the pruning set.
+
+    A rule counts as precise by Laplace's estimate over the rows of both sets that it covers, and if no more than one
+    in four of the pruning rows that it covers, which it wasn't grown on, is good.
+    """
     grow, prune = np.flatnonzero(order % 3 != 0), np.flatnonzero(order % 3 == 0)
     rules: list[Rule] = []
-    while len(rules) < most and bad[grow].sum() >= 5:
-        conditions = _grow(x, bad, grow)
+    barred: set[tuple[str, bool]] = set()
+    while len(rules) < most and bad[grow].sum() >= 3:
+        conditions = _grow(x, bad, grow, barred)
         if not conditions:
             break
 
+        def covered(c, rows):
+            hit = Rule(tuple(c)).covers({f: v[rows] for f, v in x.items()})
+            return int((hit & bad[rows]).sum()), int((hit & ~bad[rows]).sum())
+
         def worth(c):
-            hit = Rule(tuple(c)).covers({f: v[prune] for f, v in x.items()})
-            p, n = int((hit & bad[prune]).sum()), int((hit & ~bad[prune]).sum())
+            p, n = covered(c, prune)
             return (p - n) / max(p + n, 1), p
 
         best = max(range(len(conditions), 0, -1), key=lambda k: worth(conditions[:k]))
         rule = Rule(tuple(conditions[:best]))
-        hit = rule.covers(x)
-        share, p = worth(rule.conditions)
-        if p < 2 or (1 + share) / 2 < precision:
-            break
+        (p, n), (p_all, n_all) = covered(rule.conditions, prune), covered(rule.conditions, np.concatenate([grow, prune]))
+        if p < 1 or 3 * n > p or (p_all + 1) / (p_all + n_all + 2) < precision:
+            barred.add(conditions[0][:2])
+            continue
         rules.append(rule)
+        hit = rule.covers(x)
         grow, prune = grow[~hit[grow]], prune[~hit[prune]]
     return rules
 
 
 def learned_rules(stats: DataFrame, labels: DataFrame, most_rows: int = LABELLED) -> list[Rule]:
-    """Rules learned from the statistics of labelled documents, at most most_rows of them; without labels of both kinds none."""
+    """Rules learned from the statistics of labelled documents that pass the base rule, at most most_rows of them; without labels of both kinds none."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = least_by_hash(known, most_rows, "doc_id")
-    rows = stats.join(F.broadcast(known), "doc_id").select("doc_id", "quality", F.xxhash64("doc_id").alias("order"), *_COUNTS).orderBy("doc_id", *_COUNTS).toPandas()
+    rows = stats.where(~base_failed()).join(F.broadcast(known), "doc_id").select("doc_id", "quality", F.xxhash64("doc_id").alias("order"), *_COUNTS).orderBy("doc_id", *_COUNTS).toPandas()
     if rows["quality"].nunique() < 2:
         return []
     x = {f: rows[a].to_numpy(np.float64) / np.maximum(rows[b].to_numpy(np.float64), 1) for f, (a, b) in FEATURES.items()}
     return learn(x, rows["quality"].to_numpy() == 0, rows["order"].to_numpy())
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """stats with base_failed, rule (the number of the first rule that rejects, else null) and kept."""
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rule = F.lit(None).cast("int")
     for k in reversed(range(len(rules))):
         rule = F.when(rules[k].column(), F.lit(k)).otherwise(rule)
-    return stats.withColumn("base_failed", base).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED) -> DataFrame:
