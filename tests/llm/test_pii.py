@@ -87,16 +87,97 @@ def test_surrogates_differ_where_room_is_scarce(spark, monkeypatch):
     got = pii.mapping(found, "k").collect()
     s = [r["s"] for r in got]
     assert len(s) == len(set(s)) == 60 and not set(s) & {f"{i:09d}" for i in range(60)}
-    with pytest.raises(ValueError):
-        pii.mapping(spark.createDataFrame([("ssn", f"{i:09d}", "") for i in range(200)], "kind string, canon string, sex string"), "k", most=5)
+
+
+def test_longer_surrogates_where_there_is_no_room(spark, documents, monkeypatch):
+    """All one-letter addresses of a host, and then hardly any room at all: draws get longer and nothing fails."""
+    texts = [f"{c}@b.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = replaced(documents, texts)
+    assert len(set(got.values())) == 26 and not set(got.values()) & set(texts)
+    monkeypatch.setattr(pii, "SAME_LENGTH_DRAWS", -1)
+    texts = ["123-45-6789", "4111 1111 1111 1111", "10.0.0.1", "Mr. John Smith", "joe@b.com", "DE89 3704 0044 0532 0130 00", "+1 (017) 555-7713"]
+    longer = replaced(documents, texts)
+    assert all(len(longer[i]) > len(t) or "." in t for i, t in enumerate(texts)) and longer[2].count(".") == 4
+
+
+def test_no_surrogate_is_a_name_of_the_corpus(documents):
+    """A name that the first draw would give is in the corpus itself: it is drawn again."""
+    drawn = replaced(documents, ["Mr John Smith"])[0]
+    got = replaced(documents, ["Mr John Smith", drawn])
+    assert got[0] != drawn and got[1] != drawn and got[0] != got[1]
+
+
+OTHER_SCRIPTS = ["王小明@example.com", "שלום.לוי@example.com", "محمد7@example.com", "νίκος@example.gr", "иван@example.ru", "やまだ@example.jp", "ヤマダ@example.jp", "홍길동@example.kr", "नमन@example.in", "สมชาย@example.th", "արամ@example.am", "ⴰⵢⵓ٣@example.ma"]
+
+
+def test_no_letter_of_an_entity_stays_by_rule(documents):
+    """In any script: other letters of the same script, or of Latin."""
+    import unicodedata
+
+    keys = [replaced(documents, OTHER_SCRIPTS, k) for k in ("a", "b", "c")]
+    for i, v in enumerate(OTHER_SCRIPTS):
+        old = v.split("@")[0]
+        for at, c in enumerate(old):
+            new = [k[i].split("@")[0][at] for k in keys]
+            if c.isalnum():
+                assert set(new) != {c}
+                script = unicodedata.name(c).split(" ")[0]
+                assert all(unicodedata.name(x).split(" ")[0] == script or script in ("TIFINAGH", "ARABIC-INDIC") for x in new)
+
+
+def test_names_in_other_scripts(documents):
+    got = replaced(documents, ["Mr. Νίκος Παπαδόπουλος", "Mrs. Анна Иванова", "Dr. Արամ Խաչատրյան"])
+    assert re.fullmatch(r"Mr\. [Α-Ωα-ω]+ [Α-Ωα-ω]+", got[0]) and re.fullmatch(r"Mrs\. [А-Яа-я]+ [А-Яа-я]+", got[1]) and re.fullmatch(r"Dr\. [Ա-և]+ [Ա-և]+", got[2])
+
+
+def test_one_person_with_titles_that_tell_and_that_do_not(documents):
+    got = replaced(documents, ["Mrs. Anna Keller and Dr. Anna Keller", "Prof. Anna Keller", "Dr. Kim Reed", "Mr Kim Lee, Mrs Kim Lee and Dr Kim Lee"])
+    a, b = (x.split(" ", 1)[1] for x in got[0].split(" and "))
+    assert a == b == got[1].split(" ", 1)[1] and a.split(" ")[0][-1] == "a"
+    assert got[2].split(" ")[1].endswith(("is", "el", "en", "ey"))
+    men, women, neither = (re.sub(r"^\S+ ", "", x) for x in re.split(", | and ", got[3]))
+    assert len({men, women, neither}) == 3
+
+
+def test_against_a_plain_version(documents):
+    """Addresses and numbers of the first draw, computed letter by letter."""
+    import hashlib
+
+    xxhash = pytest.importorskip("xxhash")
+
+    def number(seed, i, n):
+        h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(seed.encode(), seed=42))
+        return (h - 2**64 if h >= 2**63 else h) % n
+
+    def seed(*of):
+        return hashlib.sha256("|".join(("k", *of)).encode()).hexdigest()
+
+    def mapped(by, v):
+        kinds = ["0123456789", *(x for pair in list(pii._ALPHABETS.values()) for x in pair)]
+        out = ""
+        for i, c in enumerate(v):
+            letters = next((x for x in kinds if c in x), None)
+            out += letters[number(by, i, len(letters))] if letters else c
+        return out
+
+    emails, ssns = ["joe.doe+x@mail.example.com", "иван@b.org", "王小明@example.com"], ["123-45-6789", "987-65-4321"]
+    emails[2] = "中文@example.com"
+    got = replaced(documents, emails + ssns)
+    for i, v in enumerate(emails):
+        local, host, top = re.fullmatch(r"(.*)@(.*)(\.[a-z]+)", v).groups()
+        assert got[i] == mapped(seed("email", v, "0"), local) + "@" + mapped(seed("host", host), host) + top
+    for i, v in enumerate(ssns, len(emails)):
+        digits = v.replace("-", "")
+        new = mapped(seed("ssn", digits, "0"), digits)
+        assert got[i] == f"{new[:3]}-{new[3:5]}-{new[5:]}"
 
 
 def test_draws_reach_the_texts(spark, documents, monkeypatch):
     """Texts show the surrogates that the mapping chose, whatever draw they are from."""
     whole = pii.mapping
 
-    def twice(found, key, most=40):
-        return pii._drawn(whole(found, key, most).select("kind", "canon", "sex", (F.col("attempt") + 1).alias("attempt")), key)
+    def twice(found, key):
+        return pii._drawn(whole(found, key).select("kind", "canon", "sex", (F.col("attempt") + 1).alias("attempt")), key)
 
     texts = ["a 123-45-6789 b 10.1.2.3", "10.1.2.3 c"]
     plain = replaced(documents, texts)
