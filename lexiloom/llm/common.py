@@ -76,9 +76,9 @@ def least_by_hash(df: DataFrame, most: int, *columns: str) -> DataFrame:
     Of many rows only those below a bound, which about a quarter more than `most` pass, are sorted.
     """
     h = F.xxhash64(*columns)
-    n = df.count()
-    if n > 2 * most:
-        df = df.where(h <= int(2**64 * 1.25 * max(most, 1000) / n) - 2**63)
+    share = 1.25 * max(most, 1000) / max(df.count(), 1)
+    if share < 0.625:
+        df = df.where(h <= int(2**64 * share) - 2**63)
     return df.orderBy(h, *columns).limit(most)
 
 
