@@ -74,3 +74,40 @@ def test_keep_one(documents, prose):
     df = documents(family(prose, 900, 5) + [prose(1, 50), None])
     assert sorted(r["doc_id"] for r in minhash.keep_one(df).collect()) == [0, 5, 6]
     assert minhash.keep_one(df).columns == df.columns
+
+
+def test_recall_at_depth(spark, prose):
+    """Pairs near the threshold that only meet in deep nodes: what is found is what missed() tells."""
+    texts = [t for i in range(12) for t in family(prose, 2000 + i, 3, 90)]
+    rows = list(enumerate(texts))
+    reps = minhash.sketches(spark.createDataFrame(rows, "doc_id long, text string")).select(minhash.F.col("doc_id").alias("id"), "n", "sig", "low")
+    blocks = {r["id"]: r["root"] for r in minhash.candidate_blocks(reps, 0.8, leaf=2, depth=4).collect()}
+    comps = {i: c for i, (_, c) in brute(rows, 80).items()}
+    assert all(blocks.get(i, i) == blocks.get(c, c) for i, c in comps.items())
+    assert minhash.missed(0.85, 0.85, 3) < 1e-4 and minhash.missed(0.8, 0.8, 3) < 1e-3
+    assert minhash.missed(0.85, 0.85, 1) < 1e-7
+
+
+def test_rows_grow_with_the_group(spark, documents, prose, monkeypatch):
+    """Large groups of near copies: what is compared with pivots and what is solved grows no faster than the group."""
+    base = prose(31, 300).split(" ")
+
+    def copies(n):
+        return [" ".join(base[: i % 290 + 3] + [f"w{i}"] + base[i % 290 + 4 :]) for i in range(n)]
+
+    counts = {}
+    save = minhash.saved
+
+    def count(df, name):
+        made = save(df, name)
+        counts[name] = counts.get(name, 0) + (made.count() if name in ("tested", "nodes", "stars") else 0)
+        return made
+
+    monkeypatch.setattr(minhash, "saved", count)
+    seen = []
+    for n in (400, 1600):
+        counts.clear()
+        got = minhash.near_duplicates(documents(copies(n))).collect()
+        assert len(got) == n and {r["component_id"] for r in got} == {0}
+        seen.append(dict(counts))
+    assert all(seen[1][k] <= 5 * seen[0][k] for k in ("tested", "nodes", "stars"))
