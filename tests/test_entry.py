@@ -31,3 +31,22 @@ def test_command_line_usage():
     from lexiloom.cli import main
 
     assert main([]) == 2 and main(["--nonsense", "x"]) == 2
+
+
+def test_command_line(spark, monkeypatch, capsys):
+    import io
+    import json
+    import types
+
+    from lexiloom import cli
+
+    monkeypatch.setattr(cli, "SparkSession", types.SimpleNamespace(builder=spark.builder))
+    assert cli.main(["fresh", "bread"]) == 0
+    assert json.loads(capsys.readouterr().out)["normalizedText"] == "fresh bread"
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(b"fresh bread\r\nold fish\n\xff\xfe\nnot read\n")))
+    assert cli.main(["--pretty", "-"]) == 0
+    out = capsys.readouterr().out
+    assert json.loads(out)["normalizedText"] == "fresh bread old fish" and out.count("\n") > 5
+    assert cli.main(["--model", "/no/such/model", "x"]) == 2
+    monkeypatch.setattr(cli, "identify", lambda *a, **b: 1 / 0)
+    assert cli.main(["x"]) == 1
