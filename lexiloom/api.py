@@ -5,12 +5,13 @@ from __future__ import annotations
 from .functions.charsets import SINITIC, VARIANTS
 from .functions.columns import normalized
 from .operators.identify import identify, identify_lines, result_json
+from .operators.labels import classifier_signals
 from .operators.options import IdentifyOptions
-from .sources.lexicon import corpus_lexicon, read_lexicon, read_word_lists, seed_lexicon
+from .sources.lexicon import corpus_lexicon, derived_lexicon, read_lexicon, read_word_lists, seed_lexicon
 from .streaming.stream import identify_stream, language_mix
 
 __all__ = [
-    "IdentifyOptions", "corpus_lexicon", "create_identified_view", "identify", "identify_json", "identify_lines", "identify_stream", "language_mix", "macro_of", "normalized", "read_lexicon", "read_word_lists", "register_functions", "result_json", "seed_lexicon", "variants_of",
+    "IdentifyOptions", "classifier_signals", "corpus_lexicon", "derived_lexicon", "create_identified_view", "identify", "identify_json", "identify_lines", "identify_stream", "language_mix", "macro_of", "normalized", "read_lexicon", "read_word_lists", "register_functions", "result_json", "seed_lexicon", "variants_of",
 ]
 
 

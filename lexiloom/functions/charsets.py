@@ -68,3 +68,40 @@ ML_UNSUPPORTED = 0.50
 SENTENCES = 50
 SENTENCE_END = r"(?<=[.!?。！？])"
 SENTENCE = r"[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$"
+
+# The texts of the reasons.
+MARKER_NOTES = {
+    "vi": "Vietnamese diacritic markers detected: ",
+    "fr": "French-only letter markers detected: ",
+    "hans": "Simplified-Chinese-only markers detected: ",
+    "hant": "Traditional-Chinese-only markers detected: ",
+    "yue": "Cantonese (yue) particles detected: ",
+    "hk": "Hong Kong written-Chinese markers detected: ",
+    "tw": "Taiwan written-Chinese markers detected: ",
+    "nan": "Min Nan (nan) markers detected: ",
+    "hak": "Hakka (hak) markers detected: ",
+    "wuu": "Wu (wuu) markers detected: ",
+}
+CLASSICAL_NOTE = ("Classical Chinese (lzh) function-word density: ", " hits over ", " Han chars")
+KANA_NOTES = (
+    "Japanese kana present, but Chinese-only markers outweigh kana — Han attributed proportionally",
+    "Japanese kana present alongside Chinese-only markers — Han split proportionally",
+    "Japanese kana present — Han characters interpreted as kanji",
+)
+SCRIPT_NOTE = "Script counts — "
+WORDS_NOTE = "Function-word hits — "
+DICTIONARY_NOTE = ("Dictionary — ", " recognized tokens (", " ambiguous across lexicons)")
+MORPHOLOGY_NOTE = ("Morphology — ", " (", " Latin tokens attributed)")
+CONTEXT_NOTE = ("Context window — ", " sentences, dominant: {", "}", "; multi-language paragraph")
+ML_NOTE = "Layer 9 (ML classifier) — "
+ML_REFUSED = ("Layer 9 (ML classifier) detected unsupported language '", "' (confidence ", ") — verdict downgraded to unsupported")
+EMPTY_NOTE = "Empty input after normalization"
+FOREIGN_NOTE = "Input uses scripts that are not in the supported set"
+NO_SCRIPT_NOTE = "No supported script detected in input"
+FLOOR_NOTE = "No candidate above confidence floor"
+SINGLE_NOTE = "Single language detected: "
+PRIMARY_NOTE = " is primary (confidence "
+EMBEDDED_NOTE = "); remaining candidates treated as embedded segments"
+DOWNGRADED_NOTE = "), but Layer 7 detected sentences in another language — status downgraded to 'ambiguous'"
+MIXED_NOTE = " candidates each hold ≥0.20 confidence — input contains multiple languages as first-class content"
+AMBIGUOUS_NOTE = ("Confidence gap is small (", "); detection status is 'ambiguous'")

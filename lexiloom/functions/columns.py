@@ -186,14 +186,21 @@ def han_strategy(s: dict[str, Column]) -> Column:
     )
 
 
+def has_yue_marker(text: Column) -> Column:
+    return text.rlike(f"[{c.YUE}]")
+
+
+def is_classical_chinese(text: Column) -> Column:
+    """At least four Han letters, three of them classical function words."""
+    return (count_class(text, c.HAN) >= 4) & (count_set(text, c.LZH) >= 3)
+
+
 def resolved_zh(text: Column) -> Column:
     """The Sinitic tag of a text that a classifier calls Chinese."""
-    han_lzh = F.length(text) - F.length(F.translate(text, c.LZH, ""))
-    classical = (count_class(text, c.HAN) >= 4) & (han_lzh >= 3)
     hk, tw = text.rlike(f"[{c.HK}]"), text.rlike(f"[{c.TW}]")
     return (
-        F.when(text.rlike(f"[{c.YUE}]"), "yue")
-        .when(classical, "lzh")
+        F.when(has_yue_marker(text), "yue")
+        .when(is_classical_chinese(text), "lzh")
         .when(text.rlike(f"[{c.HANT_ONLY}]"), F.when(hk & ~tw, "zh-Hant-HK").when(tw & ~hk, "zh-Hant-TW").otherwise("zh-Hant"))
         .otherwise("zh-Hans")
     )

@@ -10,6 +10,7 @@ from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 
 from ..sources.lexicon import Lexicon
@@ -71,41 +72,60 @@ def _decide(token: str, lexicon: Lexicon) -> str | None:
     return "fr" if "fr" in top and "en" not in top else "en"
 
 
+_AT = {f: i for i, f in enumerate(FIELDS)}
+
+
+def _probed(token: str, lexicon: Lexicon) -> tuple | None:
+    """What a run of Latin letters counts for: places of function-word hits, lexicons, and its language; None if for nothing."""
+    word = token.lower()
+    hits = [_AT[f"fw_{t}"] for t in lexicon.top.get(word, ()) if t in c.LATIN_TAGS]
+    known, raw = lexicon.tags.get(word, ()), lexicon.tags.get(token, ())
+    tags = [t for t in c.LEXICON_TAGS if t in (known if t in c.LATIN_TAGS else raw)]
+    lang = attributed(token, lexicon)
+    return (hits, _held(tags), _AT[f"attr_{lang}"] if lang else -1, _AT[f"chars_{lang}"] if lang else -1) if hits or tags or lang else None
+
+
+def _held(tags) -> list[int]:
+    """Places that a token in these lexicons adds one to."""
+    if not tags:
+        return []
+    return [_AT["recognized"]] + [_AT["ambiguous"]] * (len(tags) > 1) + [_AT[f"{'excl' if len(tags) == 1 else 'shared'}_{t}"] for t in tags]
+
+
 def lexical(norm: str, lexicon: Lexicon) -> list[int]:
-    """The counts FIELDS of one normalized text."""
-    out = dict.fromkeys(FIELDS, 0)
-    runs = Counter(_LATIN_RUN.findall(norm))
-    probes = []
-    for token, n in runs.items():
-        word = token.lower()
-        for t in lexicon.top.get(word, ()):
-            if t in c.LATIN_TAGS:
-                out[f"fw_{t}"] += n
-        known = lexicon.tags.get(word, ())
-        raw = lexicon.tags.get(token, ())
-        probes.append([t for t in c.LEXICON_TAGS if t in (known if t in c.LATIN_TAGS else raw)])
-        lang = attributed(token, lexicon)
-        if lang:
-            out[f"attr_{lang}"] += n
-            out[f"chars_{lang}"] += n * len(token)
-    if _CJK_RUN.search(norm):
+    """The counts FIELDS of one normalized text; what a token counts for is looked up once for many texts."""
+    out = [0] * len(FIELDS)
+    probes = lexicon.probes
+    for token, n in Counter(_LATIN_RUN.findall(norm)).items():
+        try:
+            found = probes[token]
+        except KeyError:
+            if len(probes) >= DECIDED:
+                probes.clear()
+            probes[token] = found = _probed(token, lexicon)
+        if found is None:
+            continue
+        hits, held, attr, chars = found
+        for at in hits:
+            out[at] += n
+        for at in held:
+            out[at] += 1
+        if attr >= 0:
+            out[attr] += n
+            out[chars] += n * len(token)
+    if not norm.isascii() and _CJK_RUN.search(norm):
         blocks = _CJK_RUN.findall(norm)
         for block in blocks:
             for size in (1, 2):
                 for i in range(len(block) - size + 1):
                     for t in lexicon.top.get(block[i : i + size], ()):
                         if t in c.CJK_WORD_TAGS:
-                            out[f"fw_{t}"] += 1
+                            out[_AT[f"fw_{t}"]] += 1
         joined = "".join(blocks)
-        windows = {joined[i : i + size] for size in (2, 3, 4) for i in range(len(joined) - size + 1)}
-        probes += [lexicon.tags.get(w, ()) for w in windows]
-    for tags in probes:
-        if tags:
-            out["recognized"] += 1
-            out["ambiguous"] += len(tags) > 1
-            for t in tags:
-                out[f"{'excl' if len(tags) == 1 else 'shared'}_{t}"] += 1
-    return list(out.values())
+        for w in {joined[i : i + size] for size in (2, 3, 4) for i in range(len(joined) - size + 1)}:
+            for at in _held(lexicon.tags.get(w, ())):
+                out[at] += 1
+    return out
 
 
 def lexical_udf(lexicon: Lexicon):
@@ -122,7 +142,7 @@ def lexical_udf(lexicon: Lexicon):
 
 # --- segments ------------------------------------------------------------------------------------------------------
 
-_PIECE = re.compile(f"(?P<latin>[{LATIN}]+)|(?P<han>[{HAN}]+)|(?P<ja>[{KANA}]+)|(?P<ko>[{HANGUL}]+)")
+_PIECE = re.compile(f"(?P<latin>[{LATIN}]+(?: [{LATIN}]+)*)|(?P<han>[{HAN}]+)|(?P<ja>[{KANA}]+)|(?P<ko>[{HANGUL}]+)")
 _LETTERS = re.compile(f"(?P<vi>[{_class(c.VI_MARKERS)}]+)|(?P<fr>[{c.FR_MARKERS}]+)|(?P<ascii>[A-Za-z]+)|(?P<rest>.)", re.S)
 _REGION = re.compile(f"[^{KANA}{HANGUL}]+")
 _FIRST_HAN = re.compile(f"[{HAN}]")
@@ -165,21 +185,28 @@ def spans(norm: str, vi: int, fr: int, strategy: str, lexicon: Lexicon) -> list[
     pieces: list[tuple[str, int, int]] = []
     overrides = han_overrides(norm, strategy)
     at = 0
+    plain = "fr" if fr and not vi else "en"  # of ASCII letters that nothing else decides
     for m in _PIECE.finditer(norm):
         a, b = m.span()
         kind = m.lastgroup
         if kind == "latin":
-            lang = attributed(m[0], lexicon)
-            if lang:
-                pieces.append((lang, a, b))
+            words = m[0].split(" ")
+            langs = [attributed(w, lexicon) or (plain if w.isascii() else None) for w in words]
+            if len(set(langs)) == 1 and langs[0]:
+                pieces.append((langs[0], a, b))
                 continue
-            for x in _LETTERS.finditer(m[0]):
-                tag = x.lastgroup
-                if tag == "ascii":
-                    tag = "fr" if fr and not vi else "en"
-                elif tag == "rest":
-                    tag = "vi" if vi else "fr" if fr else "en"
-                pieces.append((tag, a + x.start(), a + x.end()))
+            for word, lang in zip(words, langs):
+                if lang:
+                    pieces.append((lang, a, a + len(word)))
+                else:
+                    for x in _LETTERS.finditer(word):
+                        tag = x.lastgroup
+                        if tag == "ascii":
+                            tag = plain
+                        elif tag == "rest":
+                            tag = "vi" if vi else "fr" if fr else "en"
+                        pieces.append((tag, a + x.start(), a + x.end()))
+                a += len(word) + 1
         elif kind == "han":
             while at < len(overrides) and overrides[at][1] <= a:
                 at += 1
@@ -198,33 +225,55 @@ def spans(norm: str, vi: int, fr: int, strategy: str, lexicon: Lexicon) -> list[
 
 # --- tokens --------------------------------------------------------------------------------------------------------
 
-_WORDS = re.compile(r"[^\W_]+(?:['’.·][^\W_]+)*|\S")
-_KANJI = re.compile(f"[{HAN}]+|[\u3040-\u309F]+|[\u30A0-\u30FF\u31F0-\u31FF]+|[^{HAN}{KANA}\\s]+")
+_BOUNDARY = regex.compile(r"(?V1w)\b")  # the default word boundaries of Unicode
+_WRITTEN = re.compile(f"[{CJK}]+|[^{CJK}]+")
+#: Letters of a word in the lattice at most, and what a letter that no word holds costs beside the rarest word.
+WORD_LETTERS, UNKNOWN = 6, 4.0
 
 
-def _longest(text: str, words) -> list[tuple[int, int]]:
-    """Longest matches against the lexicon from left to right; what no word holds is cut into single letters."""
+def words_of(text: str) -> list[tuple[int, int]]:
+    """The pieces between word boundaries that aren't white space."""
     out, a = [], 0
-    while a < len(text):
-        size = next((n for n in range(min(6, len(text) - a), 1, -1) if text[a : a + n] in words), 1)
-        out.append((a, a + size))
-        a += size
-    return out
+    for m in _BOUNDARY.finditer(text):
+        b = m.start()
+        if b > a and not text[a:b].isspace():
+            out.append((a, b))
+        a = b
+    return out + ([(a, len(text))] if text[a:].strip() else [])
+
+
+def lattice(text: str, cost) -> list[tuple[int, int]]:
+    """The words of the cheapest way through the lattice of a run; cost(word) is None for what is no word.
+
+    A single letter is always one, at the cost of a rare word if the lexicon has none of it.  Of equally cheap ways the one
+    with the longer last words is taken.
+    """
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for n in range(1, len(text) + 1):
+        ways = []
+        for a in range(max(0, n - WORD_LETTERS), n):
+            c = cost(text[a:n])
+            if c is None and n - a == 1:
+                c = cost("") + UNKNOWN
+            if c is not None:
+                ways.append((best[a][0] + c, a))
+        best.append(min(ways))
+    out, n = [], len(text)
+    while n:
+        out.append((best[n][1], n))
+        n = best[n][1]
+    return out[::-1]
 
 
 def tokens(text: str, lang: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
-    """(token, start, end) in characters: words of spaced scripts, longest lexicon matches of Han and kana."""
+    """(token, start, end) in characters: Chinese and Japanese by the lattice of the lexicon's words, all else by word boundaries."""
+    if lang not in c.SINITIC and lang != "ja":
+        return [(text[a:b], a, b) for a, b in words_of(text)]
+    cost = lexicon.costs("ja" if lang == "ja" else "zh")
     out: list[tuple[str, int, int]] = []
-    if lang in c.SINITIC or lang == "ja":
-        for m in _KANJI.finditer(text):
-            if lang == "ja" and not _FIRST_HAN.match(m[0]):
-                out.append((m[0], m.start(), m.end()))
-            elif _CJK_RUN.match(m[0]):
-                out += [(m[0][a:b], m.start() + a, m.start() + b) for a, b in _longest(m[0], lexicon.tags)]
-            else:
-                out += [(w[0], m.start() + w.start(), m.start() + w.end()) for w in _WORDS.finditer(m[0])]
-    else:
-        out = [(m[0], m.start(), m.end()) for m in _WORDS.finditer(text)]
+    for m in _WRITTEN.finditer(text):
+        found = lattice(m[0], cost) if _CJK_RUN.match(m[0]) else words_of(m[0])
+        out += [(m[0][a:b], m.start() + a, m.start() + b) for a, b in found]
     return out
 
 

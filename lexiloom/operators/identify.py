@@ -198,14 +198,14 @@ def _verdict(n: Column, kept: Column, visible: Column, several: Column) -> Colum
     def verdict(status, note, found, primary):
         return F.struct(F.lit(status).alias("status"), note.alias("note"), found.alias("candidates"), primary.cast("string").alias("primary"))
 
-    embedded = F.concat(lang, F.lit(" is primary (confidence "), _money(top), F.lit("); remaining candidates treated as embedded segments"))
+    embedded = F.concat(lang, F.lit(c.PRIMARY_NOTE), _money(top), F.lit(c.EMBEDDED_NOTE))
     return (
-        F.when((visible == 0) | (n == 0), verdict("unknown", F.lit("No supported script detected in input"), none, F.lit(None)))
-        .when(F.size(kept) == 0, verdict("unknown", F.lit("No candidate above confidence floor"), none, F.lit(None)))
-        .when(clear & several, verdict("ambiguous", F.concat(lang, F.lit(" is primary (confidence "), _money(top), F.lit("), but Layer 7 detected sentences in another language — status downgraded to 'ambiguous'")), kept, lang))
-        .when(clear, verdict("resolved", F.when((top >= f32(c.DOMINANT)) & (second < f32(c.KEEP_FLOOR)), F.concat(F.lit("Single language detected: "), lang)).otherwise(embedded), kept, lang))
-        .when(mixed, verdict("mixed", F.concat(strong.cast("string"), F.lit(" candidates each hold ≥0.20 confidence — input contains multiple languages as first-class content"), ), kept, lang))
-        .otherwise(verdict("ambiguous", F.concat(F.lit("Confidence gap is small ("), _money(gap), F.lit("); detection status is 'ambiguous'")), kept, lang))
+        F.when((visible == 0) | (n == 0), verdict("unknown", F.lit(c.NO_SCRIPT_NOTE), none, F.lit(None)))
+        .when(F.size(kept) == 0, verdict("unknown", F.lit(c.FLOOR_NOTE), none, F.lit(None)))
+        .when(clear & several, verdict("ambiguous", F.concat(lang, F.lit(c.PRIMARY_NOTE), _money(top), F.lit(c.DOWNGRADED_NOTE)), kept, lang))
+        .when(clear, verdict("resolved", F.when((top >= f32(c.DOMINANT)) & (second < f32(c.KEEP_FLOOR)), F.concat(F.lit(c.SINGLE_NOTE), lang)).otherwise(embedded), kept, lang))
+        .when(mixed, verdict("mixed", F.concat(strong.cast("string"), F.lit(c.MIXED_NOTE)), kept, lang))
+        .otherwise(verdict("ambiguous", F.concat(F.lit(c.AMBIGUOUS_NOTE[0]), _money(gap), F.lit(c.AMBIGUOUS_NOTE[1])), kept, lang))
     )
 
 
@@ -224,39 +224,31 @@ def signal_reasons(ml: Column | None = None) -> Column:
     def text(name):
         return k(name).cast("string")
 
-    def marked(name, label, cond=None):
-        return when((k(name) > 0) if cond is None else cond, label, text(name))
+    def marked(name):
+        return when(k(name) > 0, c.MARKER_NOTES[name], text(name))
 
     kana_note = (
-        F.when((k("hans") > k("kana")) | (k("hant") > k("kana")), "Japanese kana present, but Chinese-only markers outweigh kana — Han attributed proportionally")
-        .when((k("hans") > 0) | (k("hant") > 0), "Japanese kana present alongside Chinese-only markers — Han split proportionally")
-        .otherwise("Japanese kana present — Han characters interpreted as kanji")
+        F.when((k("hans") > k("kana")) | (k("hant") > k("kana")), c.KANA_NOTES[0])
+        .when((k("hans") > 0) | (k("hant") > 0), c.KANA_NOTES[1])
+        .otherwise(c.KANA_NOTES[2])
     )
     words = _listed([(t, k(f"fw_{t}")) for t in kernel.FUNCTION_TAGS])
     tokens = k("attr_en") + k("attr_fr") + k("attr_vi")
     shapes = _listed([(t, k(f"attr_{t}")) for t in c.LATIN_TAGS] + [(t, k(f"end_{t}")) for t in c.ENDINGS])
     around = _listed([(t, k(f"ctx_{t}")) for t in x.CONTEXT_TAGS])
     notes = [
-        F.concat(*(F.concat(F.lit(f"{'Script counts — ' if i == 0 else ', '}{n}:"), text(n)) for i, n in enumerate(("latin", "hiragana", "katakana", "han", "hangul")))),
-        marked("vi", "Vietnamese diacritic markers detected: "),
-        marked("fr", "French-only letter markers detected: "),
-        marked("hans", "Simplified-Chinese-only markers detected: "),
-        marked("hant", "Traditional-Chinese-only markers detected: "),
-        marked("yue", "Cantonese (yue) particles detected: "),
-        when((k("lzh") > 0) & (k("han") >= 4), "Classical Chinese (lzh) function-word density: ", text("lzh"), " hits over ", text("han"), " Han chars"),
-        marked("hk", "Hong Kong written-Chinese markers detected: "),
-        marked("tw", "Taiwan written-Chinese markers detected: "),
-        marked("nan", "Min Nan (nan) markers detected: "),
-        marked("hak", "Hakka (hak) markers detected: "),
-        marked("wuu", "Wu (wuu) markers detected: "),
+        F.concat(*(F.concat(F.lit(f"{c.SCRIPT_NOTE if i == 0 else ', '}{n}:"), text(n)) for i, n in enumerate(("latin", "hiragana", "katakana", "han", "hangul")))),
+        *map(marked, ("vi", "fr", "hans", "hant", "yue")),
+        when((k("lzh") > 0) & (k("han") >= 4), c.CLASSICAL_NOTE[0], text("lzh"), c.CLASSICAL_NOTE[1], text("han"), c.CLASSICAL_NOTE[2]),
+        *map(marked, ("hk", "tw", "nan", "hak", "wuu")),
         F.when(k("kana") > 0, kana_note),
-        when(F.size(words) > 0, "Function-word hits — ", F.array_join(words, ", ")),
-        when(k("recognized") > 0, "Dictionary — ", text("recognized"), " recognized tokens (", text("ambiguous"), " ambiguous across lexicons)"),
-        when(F.size(shapes) > 0, "Morphology — ", F.array_join(shapes, ", "), F.when(tokens > 0, F.concat(F.lit(" ("), tokens.cast("string"), F.lit(" Latin tokens attributed)"))).otherwise("")),
-        when(k("ctx_sentences") > 0, "Context window — ", text("ctx_sentences"), " sentences, dominant: {", F.array_join(around, ", "), "}", F.when(k("multi_language"), "; multi-language paragraph").otherwise("")),
+        when(F.size(words) > 0, c.WORDS_NOTE, F.array_join(words, ", ")),
+        when(k("recognized") > 0, c.DICTIONARY_NOTE[0], text("recognized"), c.DICTIONARY_NOTE[1], text("ambiguous"), c.DICTIONARY_NOTE[2]),
+        when(F.size(shapes) > 0, c.MORPHOLOGY_NOTE[0], F.array_join(shapes, ", "), F.when(tokens > 0, F.concat(F.lit(c.MORPHOLOGY_NOTE[1]), tokens.cast("string"), F.lit(c.MORPHOLOGY_NOTE[2]))).otherwise("")),
+        when(k("ctx_sentences") > 0, c.CONTEXT_NOTE[0], text("ctx_sentences"), c.CONTEXT_NOTE[1], F.array_join(around, ", "), c.CONTEXT_NOTE[2], F.when(k("multi_language"), c.CONTEXT_NOTE[3]).otherwise("")),
     ]
     if ml is not None:
-        notes.append(F.when(ml.isNotNull(), F.concat(F.lit("Layer 9 (ML classifier) — "), F.array_join(F.array_sort(F.transform(ml, lambda s: F.concat(s.tag, F.lit(":"), _money(s.conf)))), ", "))))
+        notes.append(F.when(ml.isNotNull(), F.concat(F.lit(c.ML_NOTE), F.array_join(F.array_sort(F.transform(ml, lambda s: F.concat(s.tag, F.lit(":"), _money(s.conf)))), ", "))))
     return F.filter(F.array(*notes), lambda s: s.isNotNull())
 
 
@@ -288,7 +280,7 @@ def identify(df: DataFrame, text_col: str = "text", options: IdentifyOptions = I
     if options.unsupported:
         u = F.col(options.unsupported)
         refused = F.coalesce(u["conf"] >= f32(c.ML_UNSUPPORTED), F.lit(False))
-        refusal = F.concat(F.lit("Layer 9 (ML classifier) detected unsupported language '"), u["label"], F.lit("' (confidence "), _money(u["conf"]), F.lit(") — verdict downgraded to unsupported"))
+        refusal = F.concat(F.lit(c.ML_REFUSED[0]), u["label"], F.lit(c.ML_REFUSED[1]), _money(u["conf"]), F.lit(c.ML_REFUSED[2]))
     none = F.array().cast("array<struct<language:string,variants:array<string>,confidence:float>>")
     variants = F.transform(F.col("verdict.candidates"), lambda e: F.struct(e.language.alias("language"), F.when(F.size(x.variants_of(e.language)) > 0, x.variants_of(e.language)).otherwise(F.array(e.language)).alias("variants"), e.confidence.alias("confidence")))
     live = ~(empty | refused | foreign)
@@ -298,9 +290,9 @@ def identify(df: DataFrame, text_col: str = "text", options: IdentifyOptions = I
 
     status = F.when(empty, "unknown").when(refused | foreign, "unsupported").otherwise(F.col("verdict.status"))
     reasons = (
-        F.when(empty, F.array(F.lit("Empty input after normalization")))
+        F.when(empty, F.array(F.lit(c.EMPTY_NOTE)))
         .when(refused, F.array(refusal))
-        .when(foreign, F.array(F.lit("Input uses scripts that are not in the supported set")))
+        .when(foreign, F.array(F.lit(c.FOREIGN_NOTE)))
         .otherwise(F.concat(signal_reasons(ml), F.array(F.col("verdict.note"))))
     )
     # The row's own columns come back in a step of their own, so that their names meet none of the signals'.

@@ -1,13 +1,15 @@
 """Short texts in the scripts that the driver's tables lack, under negative ids."""
 
 TEXTS = [
-    "Teacher Profesor", "大学の先生 日本語の教師 高校の先生", "大学老师 中文老师 高中老师", "university teacher Japanese language teacher", "giáo viên đại học, giáo viên tiếng Nhật",
-    "学", "先生", "先生 教師 先生 老师", "學校的國文老師會說中文", "ありがとうございます", "コンピューターサイエンス", "선생님은 university에서 가르칩니다", "학생은 학교에 갑니다. 한국어를 공부하다.",
-    "Hello こんにちは world ありがとう", "Hello world from the 선생님은 학생을 가르칩니다 today", "🎉🎊✨", "12345 67890", "καλημέρα κόσμε", "Привет мир", "... !!! ???", "", "   \t  ",
-    "café résumé", "café résumé naïve façade", "señor niño año", "user123 password456 status789", "我嘅學生喺學校嚟到", "我哋唔係學生", "子曰：學而時習之，不亦說乎？", "之乎者也嘅學生",
-    "我之前去过北京和上海", "臺灣的學生在大學讀書", "學生嘥時間，老師生氣了", "儂好", "阮是甲\U0002A736", "\U0002828E\U00022CB7人", "je voudrais manger près de la fenêtre ce matin", "le chat est sur la table", "garçon français",
-    "le cœur de l'œuvre", "日本語の文の中に 中文老师在大学教中文 という言葉", "日本語の文の中で 先生 という言葉は重要です。", "The teacher asked a question. 先生は親切です。", "I want to translate giáo viên tiếng Nhật into Japanese",
-    "  hello   world  ", "ab\x07cd\r\nef\x85gh", "Full width　space and nbsp", "学生は大学で中国語学習方法論を学ぶ。先生は高等学校教育課程を教える。", "不是 没有 这是 也是 是", "xqzplmwyt ngư trường nhanh thanh", "Tôi là học sinh. Bạn là giáo viên!", "𠮷野家 ｱｲｳ Ελ",
+    "Market Mercado", "明日の市場は海の近くです 新しい店で魚を買う", "这个市场的鱼很便宜 我们买了水果", "fresh fish at the old market near the sea", "cá tươi ở chợ cũ gần biển, và bánh mới",
+    "市", "海", "海 山 海 山", "這個市場離海邊很遠還會下雨", "ゆっくりあるいてかえりました", "テレビカメラ", "오늘은 market에서 생선을 삽니다", "시장은 바다 옆에 있다. 아침에 문을 열다.",
+    "Good bread かいにいこう and fish さかなをたべる", "We bought fish at 시장은 바다 옆에 있습니다 today", "🌊🐟☀", "2024 365 7", "θάλασσα και ψάρι", "Свежая рыба", "?? -- !!", "", " \t \n ",
+    "déjà goûté", "à côté du marché", "piñata mañana cigüeña", "fish42 bread7 sea2024", "我哋喺街市買嘢", "佢係唔係嚟咗", "山者，不在高也，其水而不深乎", "海也者，嘅而已矣",
+    "我们从市场回来，谁让你进这个店", "臺北的市場裡有海魚", "老闆嘥咗魚，靚嘅", "儂去買魚", "甲魚阮買\U0002A736", "\U0002828E買\U00022CB7魚", "je cherche du pain frais avant la pluie ce soir", "le pain est dans le four", "leçon de façade",
+    "la sœur et le bœuf", "海の近くの店で 这个市场的鱼很便宜 と聞いた", "海の近くで 魚 を買うのは楽しいです。", "She went to the market early. 魚はとても新鮮です。", "He wrote cá tươi ở chợ cũ on a small card",
+    " much   room  here ", "te\x07xt wi\x1fth\r\nco\x85ntrols", "Wide　room and\xa0more", "海辺では新鮮海産物市場調査を行う。町の水産資源保護活動計画がある。", "也是 没有 不是 这是 是", "zxqvbk chợng phương khanh tranh", "Trời mưa lớn. Chúng tôi ở nhà!", "𠀋 ｻｶﾅ Ψά",
+    "うみのちかくのみせで 我们买鱼 とかいてありました", "みせのなまえは 學會 といいます", "ともだちは 臺裡 とてがみにかいた", "かのじょは 嘥冚 とよんだ そして 語 もあった",
+    "他們說臺北的市場裡有海魚", "他們說嘥時間，靚魚不見",
 ]
 
 
@@ -17,14 +19,14 @@ def rows() -> list[tuple[int, str]]:
 
 #: Scores of a classifier for texts: (text, [(tag, confidence)], (unsupported label, confidence) or None).
 SCORES = [
-    ("学", [("zh-Hans", 1.0)], None),
-    ("Teacher Profesor", [("es", 0.75), ("en", 0.25)], None),
-    ("Teacher Profesor", [], ("xxx_Yyyy", 0.5)),
-    ("Teacher Profesor", [("de", 0.5)], ("xxx_Yyyy", 0.25)),
-    ("Привет мир", [("ru", 1.0)], None),
-    ("先生", [("ja", 0.75), ("zh-Hant", 0.25)], None),
-    ("... !!!", [("en", 1.0)], None),
-    ("le chat est sur la table", [("fr", 1.0), ("oc", 0.5)], None),
+    ("市", [("zh-Hans", 1.0)], None),
+    ("Market Mercado", [("es", 0.75), ("en", 0.25)], None),
+    ("Market Mercado", [], ("xxx_Yyyy", 0.5)),
+    ("Market Mercado", [("de", 0.5)], ("xxx_Yyyy", 0.25)),
+    ("Свежая рыба", [("ru", 1.0)], None),
+    ("海", [("ja", 0.75), ("zh-Hant", 0.25)], None),
+    ("?? -- !!", [("en", 1.0)], None),
+    ("le pain est dans le four", [("fr", 1.0), ("oc", 0.5)], None),
 ]
 
 #: Confidences that stand in for a classifier's over the table: of the declared language, and of one as unsupported.

@@ -160,13 +160,13 @@ _PARTS = {
     "verdict": f"""SELECT doc_id, CASE WHEN state IN ('empty', 'none', 'floor') THEN 'unknown' WHEN state IN ('refused', 'foreign') THEN 'unsupported' WHEN state = 'downgraded' THEN 'ambiguous' ELSE state END AS status,
         CASE WHEN state IN ('resolved', 'downgraded', 'mixed', 'ambiguous') THEN top_macro END AS primary_language, CASE WHEN state NOT IN ('empty', 'refused', 'foreign') THEN variant END AS primary_variant,
         CASE WHEN state IN ('resolved', 'downgraded', 'mixed', 'ambiguous') THEN kept ELSE 0 END AS n_candidates, CASE WHEN state IN ('resolved', 'downgraded', 'mixed', 'ambiguous') THEN round(CAST(first AS DOUBLE), 2) END AS top_confidence, norm, state,
-        CASE state WHEN 'empty' THEN 'Empty input after normalization' WHEN 'foreign' THEN 'Input uses scripts that are not in the supported set'
-          WHEN 'refused' THEN 'Layer 9 (ML classifier) detected unsupported language ''' || label || ''' (confidence ' || printf('%.2f', label_conf) || ') — verdict downgraded to unsupported'
-          WHEN 'none' THEN 'No supported script detected in input' WHEN 'floor' THEN 'No candidate above confidence floor'
-          WHEN 'downgraded' THEN top_macro || ' is primary (confidence ' || printf('%.2f', first) || '), but Layer 7 detected sentences in another language — status downgraded to ''ambiguous'''
-          WHEN 'resolved' THEN CASE WHEN first >= {_f(c.DOMINANT)} AND second IS NULL THEN 'Single language detected: ' || top_macro ELSE top_macro || ' is primary (confidence ' || printf('%.2f', first) || '); remaining candidates treated as embedded segments' END
-          WHEN 'mixed' THEN strong || ' candidates each hold ≥0.20 confidence — input contains multiple languages as first-class content'
-          ELSE 'Confidence gap is small (' || printf('%.2f', first - coalesce(second, {_f(0)})) || '); detection status is ''ambiguous''' END AS note
+        CASE state WHEN 'empty' THEN {_text(c.EMPTY_NOTE)} WHEN 'foreign' THEN {_text(c.FOREIGN_NOTE)}
+          WHEN 'refused' THEN {_text(c.ML_REFUSED[0])} || label || {_text(c.ML_REFUSED[1])} || printf('%.2f', label_conf) || {_text(c.ML_REFUSED[2])}
+          WHEN 'none' THEN {_text(c.NO_SCRIPT_NOTE)} WHEN 'floor' THEN {_text(c.FLOOR_NOTE)}
+          WHEN 'downgraded' THEN top_macro || {_text(c.PRIMARY_NOTE)} || printf('%.2f', first) || {_text(c.DOWNGRADED_NOTE)}
+          WHEN 'resolved' THEN CASE WHEN first >= {_f(c.DOMINANT)} AND second IS NULL THEN {_text(c.SINGLE_NOTE)} || top_macro ELSE top_macro || {_text(c.PRIMARY_NOTE)} || printf('%.2f', first) || {_text(c.EMBEDDED_NOTE)} END
+          WHEN 'mixed' THEN strong || {_text(c.MIXED_NOTE)}
+          ELSE {_text(c.AMBIGUOUS_NOTE[0])} || printf('%.2f', first - coalesce(second, {_f(0)})) || {_text(c.AMBIGUOUS_NOTE[1])} END AS note
       FROM state""",
     "listed": """SELECT doc_id, string_agg(p, ', ' ORDER BY p) FILTER (kind = 'fw') AS words, string_agg(p, ', ' ORDER BY p) FILTER (kind = 'shape') AS shapes, string_agg(p, ', ' ORDER BY p) FILTER (kind = 'ctx') AS around FROM (
         SELECT doc_id, 'fw' AS kind, lang || ':' || hits AS p FROM fw UNION ALL SELECT doc_id, 'shape', lang || ':' || n_tokens FROM attr
@@ -174,15 +174,15 @@ _PARTS = {
         UNION ALL SELECT doc_id, 'ctx', language || ':' || count(*) FROM sent_lang WHERE language IS NOT NULL GROUP BY doc_id, language) GROUP BY doc_id""",
     "scores": "SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS note WHERE false",
     "told": f"""SELECT v.doc_id, CASE WHEN state IN ('empty', 'refused', 'foreign') THEN v.note ELSE concat_ws(' | ',
-        'Script counts — latin:' || latin || ', hiragana:' || hiragana || ', katakana:' || katakana || ', han:' || han || ', hangul:' || hangul,
-        {', '.join(f"CASE WHEN {k} > 0 THEN '{label}' || {k} END" for k, label in (('vi', 'Vietnamese diacritic markers detected: '), ('fr', 'French-only letter markers detected: '), ('hans', 'Simplified-Chinese-only markers detected: '), ('hant', 'Traditional-Chinese-only markers detected: '), ('yue', 'Cantonese (yue) particles detected: ')))},
-        CASE WHEN lzh > 0 AND han >= 4 THEN 'Classical Chinese (lzh) function-word density: ' || lzh || ' hits over ' || han || ' Han chars' END,
-        {', '.join(f"CASE WHEN {k} > 0 THEN '{label}' || {k} END" for k, label in (('hk', 'Hong Kong written-Chinese markers detected: '), ('tw', 'Taiwan written-Chinese markers detected: '), ('nan', 'Min Nan (nan) markers detected: '), ('hak', 'Hakka (hak) markers detected: '), ('wuu', 'Wu (wuu) markers detected: ')))},
-        CASE WHEN kana > 0 THEN CASE WHEN hans > kana OR hant > kana THEN 'Japanese kana present, but Chinese-only markers outweigh kana — Han attributed proportionally'
-          WHEN hans > 0 OR hant > 0 THEN 'Japanese kana present alongside Chinese-only markers — Han split proportionally' ELSE 'Japanese kana present — Han characters interpreted as kanji' END END,
-        'Function-word hits — ' || words, CASE WHEN recognized > 0 THEN 'Dictionary — ' || recognized || ' recognized tokens (' || ambiguous || ' ambiguous across lexicons)' END,
-        'Morphology — ' || shapes || CASE WHEN a.n > 0 THEN ' (' || a.n || ' Latin tokens attributed)' ELSE '' END,
-        CASE WHEN ctx_sentences > 0 THEN 'Context window — ' || ctx_sentences || ' sentences, dominant: {{' || around || '}}' || CASE WHEN x.multi_language THEN '; multi-language paragraph' ELSE '' END END, s.note, v.note) END AS reasons
+        {_text(c.SCRIPT_NOTE + 'latin:')} || latin || ', hiragana:' || hiragana || ', katakana:' || katakana || ', han:' || han || ', hangul:' || hangul,
+        {', '.join(f"CASE WHEN {k} > 0 THEN '{label}' || {k} END" for k, label in ((k, c.MARKER_NOTES[k]) for k in ('vi', 'fr', 'hans', 'hant', 'yue')))},
+        CASE WHEN lzh > 0 AND han >= 4 THEN {_text(c.CLASSICAL_NOTE[0])} || lzh || {_text(c.CLASSICAL_NOTE[1])} || han || {_text(c.CLASSICAL_NOTE[2])} END,
+        {', '.join(f"CASE WHEN {k} > 0 THEN '{label}' || {k} END" for k, label in ((k, c.MARKER_NOTES[k]) for k in ('hk', 'tw', 'nan', 'hak', 'wuu')))},
+        CASE WHEN kana > 0 THEN CASE WHEN hans > kana OR hant > kana THEN {_text(c.KANA_NOTES[0])}
+          WHEN hans > 0 OR hant > 0 THEN {_text(c.KANA_NOTES[1])} ELSE {_text(c.KANA_NOTES[2])} END END,
+        {_text(c.WORDS_NOTE)} || words, CASE WHEN recognized > 0 THEN {_text(c.DICTIONARY_NOTE[0])} || recognized || {_text(c.DICTIONARY_NOTE[1])} || ambiguous || {_text(c.DICTIONARY_NOTE[2])} END,
+        {_text(c.MORPHOLOGY_NOTE[0])} || shapes || CASE WHEN a.n > 0 THEN {_text(c.MORPHOLOGY_NOTE[1])} || a.n || {_text(c.MORPHOLOGY_NOTE[2])} ELSE '' END,
+        CASE WHEN ctx_sentences > 0 THEN {_text(c.CONTEXT_NOTE[0])} || ctx_sentences || {_text(c.CONTEXT_NOTE[1])} || around || {_text(c.CONTEXT_NOTE[2])} || CASE WHEN x.multi_language THEN {_text(c.CONTEXT_NOTE[3])} ELSE '' END END, s.note, v.note) END AS reasons
       FROM verdict v JOIN counts c USING (doc_id) LEFT JOIN listed l USING (doc_id) LEFT JOIN dict_totals d USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(n_tokens) AS BIGINT) AS n FROM attr GROUP BY doc_id) a USING (doc_id) LEFT JOIN context x USING (doc_id) LEFT JOIN scores s USING (doc_id)""",
 }
 _NEEDS = {
@@ -240,7 +240,7 @@ _ML = {
     "input": _ML_TEXTS,
     "signals": _ML_SIGNALS,
     "contrib": _PARTS["contrib"] + f" UNION ALL SELECT doc_id, 10 + ord, tag, least({_f('0.30')} * conf, {_f('0.30')}) FROM ({_ML_SCORES})",
-    "scores": f"SELECT i AS doc_id, 'Layer 9 (ML classifier) — ' || coalesce(string_agg(p, ', ' ORDER BY p), '') AS note FROM range({len(fixtures.SCORES)}) r(i) LEFT JOIN (SELECT doc_id, tag || ':' || printf('%.2f', conf) AS p FROM ({_ML_SCORES})) s ON i = doc_id GROUP BY i",
+    "scores": f"SELECT i AS doc_id, {_text(c.ML_NOTE)} || coalesce(string_agg(p, ', ' ORDER BY p), '') AS note FROM range({len(fixtures.SCORES)}) r(i) LEFT JOIN (SELECT doc_id, tag || ':' || printf('%.2f', conf) AS p FROM ({_ML_SCORES})) s ON i = doc_id GROUP BY i",
 }
 _FROM_SCORES = f"{fixtures.score_id(0)} - doc_id AS doc_id"
 _DECLARED_SCORES = f"SELECT doc_id, 0 AS ord, lang AS tag, {_f(fixtures.DECLARED[0])} AS conf FROM documents WHERE lang IS NOT NULL UNION ALL SELECT {_FROM_SCORES}, ord, tag, conf FROM ({_ML_SCORES})"
@@ -248,12 +248,35 @@ _ML_DOCUMENTS = {
     "input": f"{_DOC_TEXTS} UNION ALL SELECT {_FROM_SCORES}, text FROM ({_ML_TEXTS})",
     "signals": f"SELECT doc_id, lang AS label, CAST({fixtures.DECLARED[1]} AS DOUBLE) AS conf FROM documents WHERE lang NOT IN ({_strings(c.TAGS)}) AND doc_id % 2 = 0 UNION ALL SELECT {_FROM_SCORES}, label, CAST(conf AS DOUBLE) FROM ({_ML_SIGNALS})",
     "contrib": _PARTS["contrib"] + f" UNION ALL SELECT doc_id, 10 + ord, tag, least({_f('0.30')} * conf, {_f('0.30')}) FROM ({_DECLARED_SCORES})",
-    "scores": f"SELECT doc_id, 'Layer 9 (ML classifier) — ' || coalesce(string_agg(p, ', ' ORDER BY p), '') AS note FROM (SELECT doc_id FROM documents WHERE lang IS NOT NULL UNION ALL SELECT {_FROM_SCORES} FROM range({len(fixtures.SCORES)}) r(doc_id)) LEFT JOIN (SELECT doc_id, tag || ':' || printf('%.2f', conf) AS p FROM ({_DECLARED_SCORES})) USING (doc_id) GROUP BY doc_id",
+    "scores": f"SELECT doc_id, {_text(c.ML_NOTE)} || coalesce(string_agg(p, ', ' ORDER BY p), '') AS note FROM (SELECT doc_id FROM documents WHERE lang IS NOT NULL UNION ALL SELECT {_FROM_SCORES} FROM range({len(fixtures.SCORES)}) r(doc_id)) LEFT JOIN (SELECT doc_id, tag || ':' || printf('%.2f', conf) AS p FROM ({_DECLARED_SCORES})) USING (doc_id) GROUP BY doc_id",
 }
 _LINES = {"input": "SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"}
 _DECLARED = "(SELECT d.lang, d.source, v.* FROM verdict v JOIN documents d USING (doc_id))"
 
+#: The corpus's lexicon for the tags that lexicons are known for, and the seed for the others.
+_DERIVED = f"""WITH found AS (SELECT lang, rank, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM (
+      SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[{c.LATIN}]{{2,}}')) AS word FROM documents WHERE lang IN ({_strings(c.LEXICON_TAGS)})) GROUP BY ALL)) WHERE rank <= 10000)
+    SELECT * FROM found UNION ALL SELECT * FROM (VALUES {_values(seed_rows())}) l(lang, rank, word) WHERE lang NOT IN (SELECT lang FROM found)"""
+#: A classifier's predictions for every document and fixture text, that the id alone tells: (label, confidence) by place.
+PREDICTED = [("eng_Latn", 0.5), ("__label__fra_Latn", 0.25), ("cmn_Hant", 0.125), ("xxx_Yyyy", 0.75), ("spa_Latn", 0.25), ("__label__cmn_Hans", 0.0625), ("yue_Hant", 0.5)]
+_PREDICTIONS = f"SELECT doc_id, text, label, CAST(conf AS FLOAT) AS conf FROM ({_DOC_TEXTS}) d JOIN (VALUES {_values((i, *p) for i, p in enumerate(PREDICTED))}) p(place, label, conf) ON (abs(doc_id) + place) % 3 <> 0"
+
 SQL = {
+    "has_yue_marker": _query(f"SELECT doc_id, regexp_matches(norm, '[{c.YUE}]') AS has_yue_marker FROM norm", "norm"),
+    "is_classical_chinese": _query(f"SELECT doc_id, {_class('norm', c.HAN)} >= 4 AND {_set('norm', c.LZH)} >= 3 AS is_classical_chinese FROM norm", "norm"),
+    "classifier_signals": f"""WITH top AS (SELECT *, regexp_replace(label, '^__label__', '') AS bare, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, label) AS r FROM ({_PREDICTIONS}) QUALIFY r <= 5),
+      tagged AS (SELECT top.*, CASE WHEN bare IN ('cmn_Hans', 'cmn_Hant') THEN {_RESOLVE.replace('%s', "coalesce(text, '')")} ELSE t.tag END AS tag FROM top LEFT JOIN (VALUES {_values(labels.label_rows())}) t(label, tag) ON bare = t.label)
+      SELECT doc_id, coalesce(string_agg(tag || ':' || printf('%.4f', conf), ',' ORDER BY r) FILTER (tag IS NOT NULL), '') AS scores, max(bare) FILTER (r = 1 AND tag IS NULL) AS unsupported, max(CAST(conf AS DOUBLE)) FILTER (r = 1 AND tag IS NULL) AS unsupported_conf
+      FROM tagged GROUP BY doc_id""",
+    "identify_with_corpus_lexicon": _query(_IDENTIFY, "verdict", lex=_DERIVED),
+    "dictionary_hits_of_corpus_lexicon": _query("SELECT doc_id, lang, hits, exclusive, shared FROM dict", "dict", lex=_DERIVED),
+    "identify_json_lists": _query(
+        f"""SELECT v.doc_id, CASE WHEN v.n_candidates > 0 THEN l.candidates ELSE '' END AS candidates, t.reasons, CASE WHEN v.state IN ('empty', 'refused', 'foreign') THEN '' ELSE coalesce(s.segments, '') END AS segments
+      FROM verdict v JOIN told t USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(language || ':' || printf('%.2f', confidence), ',' ORDER BY r) AS candidates FROM ranked WHERE confidence >= {_f(c.KEEP_FLOOR)} GROUP BY doc_id) l USING (doc_id)
+      LEFT JOIN (SELECT doc_id, string_agg(language || ':' || strlen(substr(norm, 1, a)) || ':' || strlen(substr(norm, 1, b)), ',' ORDER BY island) AS segments FROM (
+        SELECT doc_id, island, any_value(norm) AS norm, any_value(lang) AS language, CAST(min(a) AS BIGINT) AS a, CAST(max(b) AS BIGINT) AS b FROM islands GROUP BY doc_id, island) GROUP BY doc_id) s USING (doc_id)""",
+        "told", "ranked", "islands",
+    ),
     "normalize": _query("SELECT doc_id, norm FROM norm", "norm"),
     "visible_chars": _query("SELECT doc_id, CAST(visible AS INTEGER) AS visible_chars FROM counts", "counts"),
     "script_counts": _query("SELECT doc_id, latin, hiragana, katakana, han, hangul, total AS supported, other FROM counts", "counts"),

@@ -16,7 +16,7 @@ from ..operators import labels, lexical, reports
 from ..operators.identify import identify, identify_lines, result_json, scored, with_normalized, with_signals
 from ..operators.ml import language_model_scores
 from ..operators.options import IdentifyOptions
-from ..sources.lexicon import corpus_lexicon, seed_lexicon
+from ..sources.lexicon import corpus_lexicon, derived_lexicon, seed_lexicon
 from ..streaming.stream import run_to_table
 from . import fixtures, oracle
 
@@ -256,6 +256,46 @@ def language_rollup(spark, sf_dir):
     return reports.rollup(identify(documents(spark, sf_dir), options=_NO_SEGMENTS))
 
 
+def has_yue_marker(spark, sf_dir):
+    return _norm(spark, sf_dir).select("doc_id", x.has_yue_marker(F.col("norm")).alias("has_yue_marker"))
+
+
+def is_classical_chinese(spark, sf_dir):
+    return _norm(spark, sf_dir).select("doc_id", x.is_classical_chinese(F.col("norm")).alias("is_classical_chinese"))
+
+
+def classifier_signals(spark, sf_dir):
+    """Scores and signals from predictions (label, confidence) of every text, which its id alone tells."""
+    found = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(t).alias("label"), F.lit(p).cast("float").alias("conf")) for i, (t, p) in enumerate(oracle.PREDICTED)))
+    rows = texts(spark, sf_dir).select("doc_id", "text", F.explode(found).alias("p")).where((F.abs("doc_id") + F.col("p.place")) % 3 != 0)
+    made = labels.classifier_signals(rows.select("doc_id", "text", "p.label", "p.conf"))
+    scores = F.array_join(F.transform("scores", lambda s: F.concat(s.tag, F.lit(":"), F.format_string("%.4f", s.conf))), ",")
+    return made.select("doc_id", scores.alias("scores"), F.col("unsupported.label").alias("unsupported"), F.col("unsupported.conf").cast("double").alias("unsupported_conf"))
+
+
+def _corpus_words(spark, sf_dir):
+    return derived_lexicon(documents(spark, sf_dir))
+
+
+def identify_with_corpus_lexicon(spark, sf_dir):
+    """identify() with up to 10,000 words of each language that the corpus declares."""
+    return _flat(identify(texts(spark, sf_dir), options=IdentifyOptions(segments=False, lexicon=_corpus_words(spark, sf_dir))), "doc_id")
+
+
+def dictionary_hits_of_corpus_lexicon(spark, sf_dir):
+    return lexical.dictionary_hits(_norm(spark, sf_dir), _corpus_words(spark, sf_dir))
+
+
+def identify_json_lists(spark, sf_dir):
+    """Candidates, reasons and segments, read back from the JSON."""
+    made = identify(texts(spark, sf_dir)).select("doc_id", result_json().alias("json"))
+    kinds = "struct<candidates:array<struct<language:string,confidence:float>>,reasons:array<string>,segments:array<struct<language:string,start:int,end:int>>>"
+    r = made.select("doc_id", F.from_json("json", kinds).alias("r"))
+    candidates = F.transform("r.candidates", lambda e: F.concat(e.language, F.lit(":"), F.format_string("%.2f", e.confidence)))
+    spans = F.transform("r.segments", lambda s: F.concat_ws(":", s.language, s.start.cast("string"), s.end.cast("string")))
+    return r.select("doc_id", F.array_join(candidates, ",").alias("candidates"), F.array_join("r.reasons", " | ").alias("reasons"), F.array_join(spans, ",").alias("segments"))
+
+
 def ml_classifier(spark, sf_dir):
     return language_model_scores(documents(spark, sf_dir)).select("doc_id", F.explode_outer("scores").alias("s")).select("doc_id", F.col("s.tag").alias("tag"), F.col("s.conf").alias("conf"))
 
@@ -271,6 +311,7 @@ QUERIES = {
     "han_strategy": han_strategy, "han_run_overrides": han_run_overrides, "segments": segments, "segment_tokens": segment_tokens, "script_weights": script_weights, "fine_distribution": fine_distribution,
     "macro_candidates": macro_candidates, "primary_variant": primary_variant, "calibrated_status": calibrated_status, "reasons": reasons, "identify": identify_documents,
     "identify_lines": identify_conversations, "identify_with_ml": identify_with_ml, "identify_documents_with_ml": identify_documents_with_ml, "macro_of": macro_of, "variants_of": variants_of, "identify_json": identify_json, "corpus_lexicon": corpus_words,
-    "status_by_declared_lang": status_by_declared_lang, "language_rollup": language_rollup, "lang_confusion": lang_confusion, "ml_classifier": ml_classifier, "stream_identify": stream_identify,
+    "has_yue_marker": has_yue_marker, "is_classical_chinese": is_classical_chinese, "classifier_signals": classifier_signals, "identify_with_corpus_lexicon": identify_with_corpus_lexicon,
+    "dictionary_hits_of_corpus_lexicon": dictionary_hits_of_corpus_lexicon, "identify_json_lists": identify_json_lists, "status_by_declared_lang": status_by_declared_lang, "language_rollup": language_rollup, "lang_confusion": lang_confusion, "ml_classifier": ml_classifier, "stream_identify": stream_identify,
 }
 SQL = oracle.SQL

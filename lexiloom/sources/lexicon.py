@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.charsets import LATIN, LEXICON_TAGS, LZH_WORDS, TOP_WORDS, YUE_WORDS
+from ..functions.charsets import LATIN, LEXICON_TAGS, LZH_WORDS, SINITIC, TOP_WORDS, YUE_WORDS
 
 SCHEMA = "lang string, rank int, word string"
 #: Words of one lexicon at most, so that its size on a broadcast is bounded.
 MOST_WORDS = 10_000
+#: Parts in which a language's words are ranked first.
+PARTS = 64
 
 #: A seed of everyday words, the most frequent first.
 SEED = {
-    "en": "the of and to in is that it was for on are as with be this from at by not or an you have teacher student school language world university",
-    "fr": "le la les de des un une et est que qui dans pour sur ce je vous nous pas avec plus chat table bonjour merci école langue voudrais manger près fenêtre matin",
-    "vi": "là và của không có người tôi học sinh giáo viên đại tiếng việt nhật thanh nhanh trong",
-    "ja": "の は を に が と で 先生 大学 日本 日本語 教師 学生 言葉",
-    "ko": "는 은 이 가 을 선생님 학생 대학 한국어",
-    "zh-Hans": "的 是 在 了 我 老师 大学 中文 学生 先生 我们 去过 北京 上海",
-    "zh-Hant": "的 是 在 了 我 老師 大學 中文 學生 先生 我們",
-    "zh-Hant-HK": "巴士 的士",
-    "zh-Hant-TW": "臺灣 計程車",
-    "yue": "我哋 唔係 佢哋",
-    "lzh": "不亦 子曰",
+    "en": "the of and to in is that it was for on are as with be this from at by not or an we she he market bread fish sea near fresh old small today",
+    "fr": "le la les de des du un une et est que qui dans pour sur ce je il nous pas avec plus pain marché soir pluie avant cherche four à on",
+    "vi": "là và của không có ở gần cũ mới cá chợ biển bánh tươi nhà mưa trời chúng tôi tranh khanh on",
+    "ja": "の は を に が と で 海 市場 魚 店 新しい 近く 山",
+    "ko": "는 은 이 가 을 시장 바다 생선 아침 오늘",
+    "zh-Hans": "的 是 在 了 我 市场 鱼 水果 便宜 我们 海 山 这个 没有",
+    "zh-Hant": "的 是 在 了 我 市場 魚 海邊 這個 海 山",
+    "zh-Hant-HK": "街市 的士",
+    "zh-Hant-TW": "臺北 計程車",
+    "yue": "我哋 佢哋 買嘢",
+    "lzh": "不在 而已",
     "nan": "阮 甲",
     "hak": "\U0002828E",
-    "wuu": "儂好",
+    "wuu": "儂去",
 }
 
 
@@ -65,8 +69,17 @@ def corpus_lexicon(docs: DataFrame, text: str = "text", lang: str = "lang", most
     """
     words = docs.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"([{LATIN}]{{2,}})"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # A language's first words are among the first of each of its parts, so that no task sorts a language's whole vocabulary.
+    part = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    part = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= most)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "rank", "word", "n")
+    return part.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "rank", "word", "n")
+
+
+def derived_lexicon(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_WORDS) -> DataFrame:
+    """A lexicon for identify(): that of the corpus for the languages that docs declare and lexicons are known for, the seed for the others."""
+    found = corpus_lexicon(docs.where(F.col(lang).isin(LEXICON_TAGS)), text, lang, most).select("lang", F.col("rank").cast("int").alias("rank"), "word")
+    return found.unionByName(seed_lexicon(docs.sparkSession).join(found.select("lang").distinct(), "lang", "left_anti").select("lang", "rank", "word"))
 
 
 def function_words(lexicon: DataFrame) -> DataFrame:
@@ -84,6 +97,7 @@ class Lexicon:
         found: dict[str, list[str]] = {}
         self.top: dict[str, tuple[str, ...]] = {}
         top: dict[str, list[str]] = {}
+        rows = list(rows)
         for lang, rank, word in sorted(rows, key=lambda r: (LEXICON_TAGS.index(r[0]), r[1])):
             found.setdefault(word, [])
             if lang not in found[word]:
@@ -96,6 +110,23 @@ class Lexicon:
         self.tags = {w: tuple(v) for w, v in found.items()}
         self.top = {w: tuple(dict.fromkeys(v)) for w, v in top.items()}
         self.decided: dict[str, str | None] = {}
+        self.probes: dict[str, tuple | None] = {}
+        self.rank: dict[str, dict[str, int]] = {"ja": {}, "zh": {}}
+        for lang, r, word in rows:
+            of = "ja" if lang == "ja" else "zh" if lang in SINITIC else None
+            if of:
+                self.rank[of][word] = min(r, self.rank[of].get(word, r))
+
+    def costs(self, lang: str):
+        """Word -> cost in a lattice, by Zipf's law of its rank in the language's lexicons, None for what is no word; of "" that of the rarest."""
+        rank = self.rank[lang]
+        last = max(rank.values(), default=1)
+
+        def cost(word: str) -> float | None:
+            r = last if not word else rank.get(word)
+            return None if r is None else math.log(r + 2.7) + 2.0
+
+        return cost
 
     @classmethod
     def of(cls, lexicon: DataFrame | None) -> "Lexicon":

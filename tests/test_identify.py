@@ -1,9 +1,11 @@
 """End-to-end cases: status, languages, variants, segments."""
 
-import pytest
+import random
 
 from lexiloom.api import IdentifyOptions, create_identified_view, identify, identify_json, identify_lines, macro_of, read_word_lists, register_functions, variants_of
+from lexiloom.functions import kernel
 from lexiloom.plans import fixtures
+from lexiloom.sources.lexicon import Lexicon
 
 
 def run(spark, texts, **options):
@@ -12,35 +14,39 @@ def run(spark, texts, **options):
 
 
 CASES = {
-    "Teacher Profesor": ("resolved", "en", None),
-    "大学の先生 日本語の教師 高校の先生": ("resolved", "ja", None),
-    "大学老师 中文老师 高中老师": ("resolved", "zh", "zh-Hans"),
-    "university teacher Japanese language teacher": ("resolved", "en", None),
-    "giáo viên đại học, giáo viên tiếng Nhật": ("resolved", "vi", None),
-    "學校的國文老師會說中文": ("resolved", "zh", "zh-Hant"),
-    "ありがとうございます": ("resolved", "ja", None),
-    "コンピューターサイエンス": ("resolved", "ja", None),
-    "学": ("ambiguous", None, None),
-    "선생님은 university에서 가르칩니다": (None, "ko", None),
-    "señor niño año": (None, "en", None),
-    "user123 password456 status789": ("resolved", "en", None),
-    "🎉🎊✨": ("unsupported", None, None),
-    "12345 67890": ("unsupported", None, None),
-    "καλημέρα κόσμε": ("unsupported", None, None),
-    "... !!! ???": ("unknown", None, None),
+    "Market Mercado": ("resolved", "en", None),
+    "明日の市場は海の近くです 新しい店で魚を買う": ("resolved", "ja", None),
+    "这个市场的鱼很便宜 我们买了水果": ("resolved", "zh", "zh-Hans"),
+    "fresh fish at the old market near the sea": ("resolved", "en", None),
+    "cá tươi ở chợ cũ gần biển, và bánh mới": ("resolved", "vi", None),
+    "這個市場離海邊很遠還會下雨": ("resolved", "zh", "zh-Hant"),
+    "ゆっくりあるいてかえりました": ("resolved", "ja", None),
+    "テレビカメラ": ("resolved", "ja", None),
+    "市": ("ambiguous", "zh", "zh-Hant"),
+    "海 山 海 山": ("mixed", None, None),
+    "오늘은 market에서 생선을 삽니다": (None, "ko", None),
+    "piñata mañana cigüeña": (None, "en", None),
+    "fish42 bread7 sea2024": ("resolved", "en", None),
+    "🌊🐟☀": ("unsupported", None, None),
+    "2024 365 7": ("unsupported", None, None),
+    "θάλασσα και ψάρι": ("unsupported", None, None),
+    "?? -- !!": ("unknown", None, None),
     "": ("unknown", None, None),
-    "   \t  ": ("unknown", None, None),
-    "Hello こんにちは world ありがとう": ("mixed", None, None),
-    "Hello world from the 선생님은 학생을 가르칩니다 today": ("mixed", None, None),
-    "我嘅學生喺學校嚟到": (None, "zh", "yue"),
-    "我哋唔係學生": (None, "zh", "yue"),
-    "子曰：學而時習之，不亦說乎？": (None, "zh", "lzh"),
-    "之乎者也嘅學生": (None, "zh", "lzh"),
-    "臺灣的學生在大學讀書": (None, "zh", "zh-Hant-TW"),
-    "學生嘥時間，老師生氣了": (None, "zh", "zh-Hant-HK"),
-    "je voudrais manger près de la fenêtre ce matin": (None, "fr", None),
-    "le chat est sur la table": (None, "fr", None),
-    "garçon français": (None, "fr", None),
+    " \t \n ": ("unknown", None, None),
+    "Good bread かいにいこう and fish さかなをたべる": ("mixed", None, None),
+    "We bought fish at 시장은 바다 옆에 있습니다 today": ("mixed", None, None),
+    "She went to the market early. 魚はとても新鮮です。": ("ambiguous", "en", None),
+    "我哋喺街市買嘢": (None, "zh", "yue"),
+    "佢係唔係嚟咗": (None, "zh", "yue"),
+    "山者，不在高也，其水而不深乎": (None, "zh", "lzh"),
+    "海也者，嘅而已矣": (None, "zh", "lzh"),
+    "他們說臺北的市場裡有海魚": (None, "zh", "zh-Hant-TW"),
+    "他們說嘥時間，靚魚不見": (None, "zh", "zh-Hant-HK"),
+    "儂去買魚": (None, "zh", "wuu"),
+    "甲魚阮買\U0002A736": (None, "zh", "nan"),
+    "je cherche du pain frais avant la pluie ce soir": (None, "fr", None),
+    "le pain est dans le four": (None, "fr", None),
+    "leçon de façade": (None, "fr", None),
 }
 
 
@@ -52,7 +58,7 @@ def test_cases(spark):
 
 
 def test_both_languages_are_candidates(spark):
-    want = {"学": {"ja", "zh"}, "先生": {"ja", "zh"}, "Hello こんにちは world ありがとう": {"en", "ja"}, "I met giáo viên Đặng yesterday": {"en", "vi"}}
+    want = {"市": {"ja", "zh"}, "海": {"ja", "zh"}, "Good bread かいにいこう and fish さかなをたべる": {"en", "ja"}, "He wrote cá tươi ở chợ cũ on a small card": {"en", "vi"}}
     for r in run(spark, list(want), segments=False):
         assert want[list(want)[r["id"]]] <= {c["language"] for c in r["candidates"]}
 
@@ -77,26 +83,56 @@ def test_invariants(spark):
 
 
 def test_segments(spark):
-    one, two, three = run(spark, ["The teacher asked a question", "日本語の文の中に 中文老师在大学教中文 という言葉", "日本語の文の中で 先生 という言葉は重要です。"])
+    one, two, three, four = run(spark, ["We went to the old market", "海の近くの店で 这个市场的鱼很便宜 と聞いた", "海の近くで 魚 を買うのは楽しいです。", "du pain, xyz mañana façade"])
     assert [s["language"] for s in one["segments"]] == ["en"]
-    assert [(s["language"], s["text"]) for s in two["segments"]] == [("ja", "日本語の文の中に"), ("zh-Hans", "中文老师在大学教中文"), ("ja", "という言葉")]
+    assert [(s["language"], s["text"]) for s in two["segments"]] == [("ja", "海の近くの店で"), ("zh-Hans", "这个市场的鱼很便宜"), ("ja", "と聞いた")]
     assert {s["language"] for s in three["segments"]} == {"ja"}
+    assert [(s["language"], s["text"]) for s in four["segments"]] == [("fr", "du pain"), ("fr", "xyz mañana façade")]
 
 
 def test_tokens(spark):
-    (r,) = run(spark, ["王老师在大学教中文"], tokenize=True)
-    assert {"大学", "中文"} <= {t["text"] for s in r["segments"] for t in s["tokens"]}
+    """Words of the lattice, and pieces between the word boundaries of Unicode without white space."""
+    (r,) = run(spark, ["这个市场的鱼很便宜 don't pay 3.5 now"], tokenize=True)
+    assert [t["text"] for s in r["segments"] for t in s["tokens"]][:6] == ["这个", "市场", "的", "鱼", "很", "便宜"]
+    lexicon = Lexicon.of(None)
+    cases = {"Don't go 3.5 km, e-mail us: it's ok!": ["Don't", "go", "3.5", "km", ",", "e", "-", "mail", "us", ":", "it's", "ok", "!"], "시장은 바다 옆에": ["시장은", "바다", "옆에"], " \u3000": [], "a_b c": ["a_b", "c"]}
+    for text, want in cases.items():
+        assert [w for w, _, _ in kernel.tokens(text, "en", lexicon)] == want
+    assert [w for w, _, _ in kernel.tokens("新しい店で TV を", "ja", lexicon)] == ["新しい", "店", "で", "TV", "を"]
+
+
+def test_lattice_against_all_ways():
+    cost = {"ab": 1.0, "a": 2.0, "b": 2.5, "bc": 0.5, "abc": 3.0, "c": 1.5, "": 4.0}.get
+
+    def every(text):
+        if not text:
+            return [(0.0, [])]
+        out = []
+        for n in range(1, min(kernel.WORD_LETTERS, len(text)) + 1):
+            c = cost(text[:n])
+            if c is None and n == 1:
+                c = cost("") + kernel.UNKNOWN
+            if c is not None:
+                out += [(c + x, [text[:n], *ws]) for x, ws in every(text[n:])]
+        return out
+
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("abcx") for _ in range(rng.randint(0, 8)))
+        found = [text[a:b] for a, b in kernel.lattice(text, cost)]
+        best = min(every(text))[0]
+        assert "".join(found) == text and abs(sum(cost(w) if cost(w) is not None else cost("") + kernel.UNKNOWN for w in found) - best) < 1e-9
 
 
 def test_lines(spark):
-    df = spark.createDataFrame([(1, 2, "先生は親切です。"), (1, 1, "日本語の先生です。"), (2, 1, "One sentence."), (2, 2, "Another one.")], "id int, ord int, text string")
+    df = spark.createDataFrame([(1, 2, "魚は新鮮です。"), (1, 1, "海の近くの店です。"), (2, 1, "Some bread."), (2, 2, "More fish.")], "id int, ord int, text string")
     got = {r["id"]: r for r in identify_lines(df, "id", "ord").collect()}
-    assert got[1]["primary_language"] == "ja" and got[1]["normalized_text"] == "日本語の先生です。 先生は親切です。"
+    assert got[1]["primary_language"] == "ja" and got[1]["normalized_text"] == "海の近くの店です。 魚は新鮮です。"
     assert got[2]["primary_language"] == "en"
 
 
 def test_classifier_scores_tip_the_balance(spark):
-    df = spark.createDataFrame([("学", [("zh-Hans", 1.0)])], "text string, scores array<struct<tag:string,conf:float>>")
+    df = spark.createDataFrame([("市", [("zh-Hans", 1.0)])], "text string, scores array<struct<tag:string,conf:float>>")
     r = identify(df, options=IdentifyOptions(ml_scores="scores")).first()
     assert (r["primary_language"], r["primary_variant"]) == ("zh", "zh-Hans") and any("Layer 9" in x for x in r["reasons"])
 
@@ -104,7 +140,7 @@ def test_classifier_scores_tip_the_balance(spark):
 def test_json_leaves_absent_values_out(spark):
     import json
 
-    df = spark.createDataFrame([("12345",), ("Hello",)], "text string")
+    df = spark.createDataFrame([("12345",), ("Bread",)], "text string")
     a, b = (json.loads(r["json"]) for r in identify_json(df).collect())
     assert "primaryLanguage" not in a and a["status"] == "unsupported"
     assert b["primaryLanguage"] == "en" and "tokens" not in b["segments"][0] and b["candidates"][0]["variants"] == ["en"]
@@ -113,7 +149,7 @@ def test_json_leaves_absent_values_out(spark):
 def test_sql_surface(spark):
     register_functions(spark)
     assert spark.sql("SELECT macro_of('yue') a, macro_of('es') b, size(variants_of('zh')) c, size(variants_of('es')) d").first()[:] == ("zh", "es", 9, 0)
-    spark.createDataFrame([(1, "Hello world")], "id int, text string").createOrReplaceTempView("plain_texts")
+    spark.createDataFrame([(1, "Old bread")], "id int, text string").createOrReplaceTempView("plain_texts")
     create_identified_view(spark, "plain_texts", "told")
     assert spark.sql("SELECT primary_language FROM told WHERE status = 'resolved'").first()[0] == "en"
     assert spark.sql("SELECT json FROM told_json").first()[0].startswith('{"candidates"')
@@ -135,7 +171,7 @@ def test_word_lists(spark, tmp_path):
 def test_columns_stay(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([("Hello",)], "text string").select("*", *(F.lit(1).alias(c) for c in ("norm", "vi", "total", "fine", "kept", "_row", "status")))
+    df = spark.createDataFrame([("Bread",)], "text string").select("*", *(F.lit(1).alias(c) for c in ("norm", "vi", "total", "fine", "kept", "_row", "status")))
     out = identify(df)
     assert out.columns[:7] == ["text", "norm", "vi", "total", "fine", "kept", "_row"] and out.first()["status"] == "resolved"
     assert identify(df.limit(0)).collect() == []

@@ -10,7 +10,7 @@ from lexiloom.operators import labels, lexical
 from lexiloom.operators.identify import identify, with_normalized
 from lexiloom.operators.options import IdentifyOptions
 from lexiloom.plans import fixtures
-from lexiloom.sources.lexicon import Lexicon, seed_lexicon
+from lexiloom.sources.lexicon import Lexicon, corpus_lexicon, seed_lexicon
 
 
 def table(spark, texts):
@@ -21,12 +21,12 @@ def test_normalization(spark):
     cases = {"  hello   world  ": "hello world", "ab\x07cd": "abcd", "a\rb\x85c": "abc", "café": "café", "a　\xa0b": "a b", "a\nb\tc": "a b c", "": ""}
     got = [r["norm"] for r in sorted(table(spark, list(cases)).collect(), key=lambda r: r["doc_id"])]
     assert got == list(cases.values())
-    assert table(spark, ["Hello, world!"]).first()["visible_chars"] == 10
+    assert table(spark, ["Bread, fish!"]).first()["visible_chars"] == 9
 
 
 def test_sentences(spark):
-    got = table(spark, ["Hello world. How are you? ! tail"]).select(x.sentences(F.col("norm"))).first()[0]
-    assert got == ["Hello world.", "How are you?", "!", "tail"]
+    got = table(spark, ["Bread is old. Is fish fresh? ! tail"]).select(x.sentences(F.col("norm"))).first()[0]
+    assert got == ["Bread is old.", "Is fish fresh?", "!", "tail"]
     assert len(table(spark, ["a. " * 80]).select(x.sentences(F.col("norm"))).first()[0]) == 50
 
 
@@ -37,7 +37,7 @@ def test_attribution_rules():
 
 
 def test_relations_agree_with_the_kernel(spark):
-    texts = fixtures.TEXTS + ["The THE the teacher table là nhanh", "的的的 是不是 我哋"]
+    texts = fixtures.TEXTS + ["The THE the fish pain là nhanh", "的的的 是不是 我哋"]
     df, words = table(spark, texts).cache(), seed_lexicon(spark)
     lexicon = Lexicon.of(None)
     norm = {r["doc_id"]: r["norm"] for r in df.collect()}
@@ -59,8 +59,34 @@ def test_labels(spark):
     assert got == {"eng_Latn": ("en", True), "__label__yue_Hant": ("yue", True), "cmn_Hant": ("zh-Hant-HK", True), "cmn_Hans": ("zh-Hans", True), "xxx_Yyyy": (None, False), "arb_Latn": ("ar", True)}
 
 
+def test_predictions_to_signals(spark):
+    rows = [(1, "x", "eng_Latn", 0.5), (1, "x", "__label__fra_Latn", 0.25), (1, "x", "xxx_Yyyy", 0.125), (2, "學生嘥時間", "cmn_Hant", 0.5), (2, "學生嘥時間", "deu_Latn", 0.5), (3, "x", "__label__xxx_Yyyy", 0.75), (3, "x", "spa_Latn", 0.25), (4, "x", None, 1.0), (4, "x", "eng_Latn", None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string, conf float")
+    got = {r["doc_id"]: ([tuple(s) for s in r["scores"]], r["unsupported"] and tuple(r["unsupported"])) for r in labels.classifier_signals(df).collect()}
+    assert got == {1: ([("en", 0.5), ("fr", 0.25)], None), 2: ([("zh-Hant-HK", 0.5), ("de", 0.5)], None), 3: ([("es", 0.25)], ("xxx_Yyyy", 0.75))}
+    first = {r["doc_id"]: (len(r["scores"]), r["unsupported"]) for r in labels.classifier_signals(df, top_k=1).collect()}
+    assert first[1] == (1, None) and first[3][0] == 0
+    told = labels.classifier_signals(df).join(df.select("doc_id", "text").distinct(), "doc_id")
+    status = {r["doc_id"]: r["status"] for r in identify(told, options=IdentifyOptions(ml_scores="scores", unsupported="unsupported")).collect()}
+    assert status[3] == "unsupported" and status[1] == "resolved"
+
+
+def test_markers(spark):
+    df = spark.createDataFrame([("佢哋",), ("之乎者也",), ("之乎者",), ("",)], "t string")
+    got = df.select(x.has_yue_marker(F.col("t")), x.is_classical_chinese(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, True), (False, False), (False, False)]
+
+
+def test_ranked_words_in_parts(spark):
+    """The parts of a language's words are ranked together; ties by the word."""
+    df = spark.createDataFrame([("en", " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)} " * (1 + i % 5) for i in range(300)))], "lang string, text string")
+    got = [(r["rank"], r["word"], r["n"]) for r in corpus_lexicon(df, most=50).orderBy("rank").collect()]
+    words = sorted(((1 + i % 5, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300)), key=lambda x: (-x[0], x[1]))
+    assert got == [(k, w, n) for k, (n, w) in enumerate(words[:50], 1)]
+
+
 def test_identification_does_not_shuffle(spark):
-    df = spark.createDataFrame([("Hello", "en")], "text string, lang string")
+    df = spark.createDataFrame([("Bread", "en")], "text string, lang string")
     plan = identify(df, options=IdentifyOptions(segments=True))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange|Join|Aggregate", plan) and plan.count("ArrowEvalPython") == 1
 
