@@ -11,6 +11,10 @@ length it shares with its predecessor and the rest.  A loser tree merges the pie
 candidate how far it agrees with the last one out, decides by these lengths alone where they differ, and compares from
 there on where they don't.  The lengths it puts out delimit groups of suffixes that agree far enough, and within a group
 the windows that occur twice are found.
+
+Buckets hold about as many suffixes at any size of the corpus: splitters are bounded in number, and between two of them
+suffixes are dealt by the hash of what a group shares, which keeps groups together and each part in order.  Suffixes that
+agree with very many others are no task's to merge: their windows are counted by a shuffle.
 """
 
 from __future__ import annotations
@@ -34,9 +38,9 @@ GRAM = 8
 #: Sorted contexts that one bucket holds about, and bytes of contexts that a task sorts at once.
 BUCKET = 30_000
 RUN_BYTES = 24 << 20
-#: Buckets and sampled splitters at most; beyond it buckets grow.
-MOST_BUCKETS = 20_000
-#: Members of a group that are compared within the task; larger groups go through a shuffle by window.
+#: Sampled splitters at most; beyond it the suffixes between two splitters are dealt to several buckets.
+SPLITTERS = 20_000
+#: Anchors whose suffixes may be in one group and are merged by a task; the windows of larger groups go through a shuffle.
 GROUP = 60_000
 #: Bytes of texts whose anchors are looked for at once.
 PIECE = 1 << 19
@@ -208,16 +212,22 @@ def merged(runs):
             node >>= 1
 
 
-def _contexts(batches, length: int, cuts: list[bytes], run: str, run_bytes: int):
-    """Rows (k, text, at) to run pieces (bucket, block) and to each document's (k, places, content ids)."""
+def _contexts(batches, length: int, cuts: list[bytes], subs: int, run: str, run_bytes: int):
+    """Rows (k, text, places of (at, hot)) to run pieces (kind 0: bucket, block) and each document's (kind 1: k, places, content ids).
+
+    Contexts of hot anchors stand in no run but are rows of their own (kind 2: block and bucket are the context and the
+    length of its right part, seq is 2 if the task has it more than once).
+    """
     reach = _reach(length)
+    shared = length - reach
     held: dict[bytes, list] = {}
+    hot: dict[bytes, list] = {}
     size = 0
     number = 0
 
     def row(kind, **got):
         names = ["kind", "bucket", "run", "seq", "block", "k", "at", "ids"]
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary())]
         n = len(next(iter(got.values())))
         return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32())] + [pa.array(got.get(c, [None] * n), t) for c, t in zip(names[1:], kinds[1:])], names=names)
 
@@ -227,37 +237,63 @@ def _contexts(batches, length: int, cuts: list[bytes], run: str, run_bytes: int)
         bounds = [0] + [bisect.bisect_left(start, c) for c in cuts] + [len(entries)]
         got: dict[str, list] = {"bucket": [], "run": [], "seq": [], "block": []}
         for b, (x, y) in enumerate(zip(bounds, bounds[1:])):
-            for seq, a in enumerate(range(x, y, 4096)):
-                got["bucket"].append(b)
-                got["run"].append(f"{run}{number}")
-                got["seq"].append(seq)
-                got["block"].append(front_coded(entries[a : min(a + 4096, y)]))
+            parts: dict[int, list] = {0: entries[x:y]} if subs == 1 else {}
+            if subs > 1:
+                for e in entries[x:y]:
+                    parts.setdefault(zlib.crc32(e[0][:shared]) % subs, []).append(e)
+            for sub, part in parts.items():
+                for seq, a in enumerate(range(0, len(part), 4096)):
+                    got["bucket"].append(b * subs + sub)
+                    got["run"].append(f"{run}{number}")
+                    got["seq"].append(seq)
+                    got["block"].append(front_coded(part[a : a + 4096]))
         return row(0, **got)
 
+    def hot_rows():
+        return row(2, bucket=[r for _, r, _ in hot.values()], seq=[c for _, _, c in hot.values()], block=[key for key, _, _ in hot.values()], ids=[[c] for c in hot])
+
     for batch in batches:
         ks, texts, places = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()
         ids: list[list[bytes]] = []
         for text, at in zip(texts, places):
             own = []
             for p in at:
-                left, right = text[max(0, p - reach) : p], text[p : p + length]
+                left, right = text[max(0, p["at"] - reach) : p["at"]], text[p["at"] : p["at"] + length]
                 c = content_id(left, right)
                 own.append(c)
-                known = held.get(c)
+                keep = hot if p["hot"] else held
+                known = keep.get(c)
                 if known is None:
-                    held[c] = [right + left[::-1], len(right), 1]
+                    keep[c] = [right + left[::-1], len(right), 1]
                     size += len(left) + len(right) + 250
                 else:
                     known[2] = 2
             ids.append(own)
             if size >= run_bytes:
-                yield sorted_run()
+                if held:
+                    yield sorted_run()
+                if hot:
+                    yield hot_rows()
                 held.clear()
+                hot.clear()
                 size = 0
                 number += 1
-        yield row(1, k=ks, at=places, ids=ids)
+        yield row(1, k=ks, at=[[p["at"] for p in at] for at in places], ids=ids)
     if held:
         yield sorted_run()
+    if hot:
+        yield hot_rows()
+
+
+def _hot_windows(batches, length: int):
+    """Contexts (id, key, right, n) to (id, n, hashes of the windows by distance, null where there is none)."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 500):
+            batch = whole.slice(a, 500)
+            members = list(zip(*(batch.column(c).to_pylist() for c in ("key", "right", "n"))))
+            hashed, has = _windows(members, length, 0, _reach(length) + 1)
+            windows = [[int(x) if y else None for x, y in zip(h, ok)] for h, ok in zip(hashed.view(np.int64), has)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(windows, pa.list_(pa.int64()))], names=["id", "n", "windows"])
 
 
 def _windows(members, length: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,72 +353,43 @@ def repeated(members: list[tuple[bytes, int, int]], length: int) -> list[int]:
     return out
 
 
-def _merge(batches, length: int, most: int):
-    """The runs of each bucket merged: (id, mask) of contexts with repeated windows; of very large groups (id, count, windows) instead."""
+def _merge(batches, length: int):
+    """The runs of each bucket merged: (id, mask) of contexts with repeated windows."""
     shared = length - _reach(length)
     size = (_reach(length) + 8) // 8
-    names = ["id", "mask", "count", "windows"]
-
-    def told(ids, masks, counts=None, windows=None):
-        n = len(ids)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array(masks, pa.binary()), pa.array(counts or [None] * n, pa.int32()), pa.array(windows or [None] * n, pa.list_(pa.int64()))], names=names
-        )
 
-    def identity(m):
-        return content_id(m[0][m[1] :][::-1], m[0][: m[1]])
-
-    def spilled(members):
-        for a in range(0, len(members), 500):
-            part = members[a : a + 500]
-            hashed, has = _windows(part, length, 0, _reach(length) + 1)
-            yield told([identity(m) for m in part], [None] * len(part), [m[2] for m in part], [[int(x) if y else None for x, y in zip(h, ok)] for h, ok in zip(hashed.view(np.int64), has)])
-
-    ids, masks = [], []
-    bucket, runs = None, {}
-
-    def solve():
-        nonlocal ids, masks
+    def solve(runs):
+        ids, masks = [], []
         group: list[tuple[bytes, int, int]] = []
-        over = False
 
         def close():
             for m, bits in zip(group, repeated(group, length)):
                 if bits:
-                    ids.append(identity(m))
+                    ids.append(content_id(m[0][m[1] :][::-1], m[0][: m[1]]))
                     masks.append(bits.to_bytes(size, "little"))
 
         for key, r, c, n in merged([decoded(b) for b in runs.values()]):
             if group and n < shared:
-                if over:
-                    yield from spilled(group)
-                else:
-                    close()
-                group, over = [], False
+                close()
+                group = []
             if group and group[-1][1] == r and group[-1][0] == key:
                 group[-1] = (key, r, 2)
             else:
                 group.append((key, r, c))
-            if len(group) > most:
-                yield from spilled(group[:-1])
-                group, over = group[-1:], True
-        if over:
-            yield from spilled(group)
-        elif group:
+        if group:
             close()
-        if ids:
-            yield told(ids, masks)
-            ids, masks = [], []
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(masks, pa.binary())], names=["id", "mask"])
 
+    bucket, runs = None, {}
     for batch in batches:
         for b, run, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "run", "block"))):
             if b != bucket and runs:
-                yield from solve()
+                yield solve(runs)
                 runs = {}
             bucket = b
             runs.setdefault(run, []).append(block)
     if runs:
-        yield from solve()
+        yield solve(runs)
 
 
 def _spans(text: bytes, found, length: int) -> np.ndarray:
@@ -442,26 +449,29 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET
     docs = docs.select(*others, text.alias("text")).withColumn("_k", F.xxhash64(*id_parts, "text"))
     found = saved(docs.select("_k", "text").where(F.octet_length("text") >= length).mapInArrow(lambda b: _find(b, length), "k long, at array<int>, h array<long>, begin array<binary>, begin_h array<long>"), "anchors")
     single = found.select("k", F.explode(F.arrays_zip("at", "h")).alias("a")).select("k", "a.at", "a.h")
-    twice = saved(single.groupBy("h").count().where("count > 1").select("h"), "repeated")
-    live = saved(single.join(twice, "h").select("k", "at"), "live")
-    buckets = min(MOST_BUCKETS, live.count() // bucket + 1)
+    twice = saved(single.groupBy("h").count().where("count > 1").select("h", (F.col("count") > group).alias("hot")), "repeated")
+    live = saved(single.join(twice, "h").select("k", "at", "hot"), "live")
+    buckets = live.count() // bucket + 1
+    subs = -(-buckets // SPLITTERS)
+    buckets = -(-buckets // subs)
     begin = found.select(F.explode(F.arrays_zip("begin", "begin_h")).alias("b")).select("b.begin", F.col("b.begin_h").alias("h")).join(twice, "h", "left_semi")
-    sample = sorted(bytes(r["begin"]) for r in least_by_hash(saved(begin, "begins"), MOST_BUCKETS, "begin", "h").collect())
+    sample = sorted(bytes(r["begin"]) for r in least_by_hash(saved(begin, "begins"), SPLITTERS, "begin", "h").collect())
     cuts = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
     marked = _marked(live.select("k").distinct())
     test = marked("_k")
     part = saved(docs.where(F.octet_length("text") >= length).where(test), "candidates")
-    places = live.distinct().groupBy("k").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    places = live.distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "hot"))).alias("at"))
     work = part.select(F.col("_k").alias("k"), "text").join(places, "k").select("k", "text", "at")
     # Every row counts, so rows of one key are not made one; the run's name tells tasks apart.
-    made = saved(work.mapInArrow(lambda b: _contexts(b, length, cuts, _task(), run_bytes), "kind int, bucket int, run string, seq int, block binary, k long, at array<int>, ids array<binary>"), "runs")
+    made = saved(work.mapInArrow(lambda b: _contexts(b, length, cuts, subs, _task(), run_bytes), "kind int, bucket long, run string, seq int, block binary, k long, at array<int>, ids array<binary>"), "runs")
     pieces = made.where("kind = 0").select("bucket", "run", "seq", "block").repartition(max(parallelism(spark), 1), "bucket").sortWithinPartitions("bucket", "run", "seq")
-    told = saved(pieces.mapInArrow(lambda b: _merge(b, length, group), "id binary, mask binary, count int, windows array<long>"), "masks")
-    masks = told.where("mask is not null").select("id", "mask")
-    if told.where("mask is null").take(1):
-        each = told.where("mask is null").select("id", "count", F.posexplode("windows").alias("d", "w")).where("w is not null")
-        again = each.groupBy("w").agg(F.sum("count").alias("n")).where("n > 1")
-        bits = each.join(again.select("w"), "w").groupBy("id").agg(F.collect_set("d").alias("ds"))
+    masks = saved(pieces.mapInArrow(lambda b: _merge(b, length), "id binary, mask binary"), "masks")
+    if twice.where("hot").take(1):
+        context = made.where("kind = 2").groupBy(F.get("ids", 0).alias("id")).agg(F.first("block").alias("key"), F.first("bucket").alias("right"), F.sum("seq").alias("n"))
+        told = saved(context.mapInArrow(lambda b: _hot_windows(b, length), "id binary, n long, windows array<long>"), "windows")
+        each = told.select("id", "n", F.posexplode("windows").alias("d", "w")).where("w is not null")
+        again = saved(each.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "again")
+        bits = each.join(again, "w").groupBy("id").agg(F.collect_set("d").alias("ds"))
         masks = masks.union(bits.select("id", _mask_of(length)("ds")))
     where = made.where("kind = 1").select("k", F.explode(F.arrays_zip("at", "ids")).alias("a")).select("k", "a.at", F.col("a.ids").alias("id")).distinct()
     hit = where.join(masks, "id").groupBy("k").agg(F.collect_list(F.struct("at", "id", "mask")).alias("found"))
@@ -497,7 +507,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op4_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    made = repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 QUERIES = {"op4_suffix_merge": op4_suffix_merge}

@@ -45,8 +45,10 @@ def test_against_all_strings(documents, tangled):
     assert run(documents(tangled), length=100) == brute(tangled, 100)
 
 
-def test_small_runs_buckets_and_groups(documents, tangled):
-    """Many runs for the loser tree, many buckets, and groups that go through the shuffle."""
+def test_small_runs_buckets_and_groups(documents, tangled, monkeypatch):
+    """Many runs for the loser tree, many buckets between few splitters, and groups that go through the shuffle."""
+    monkeypatch.setattr(suffix, "SPLITTERS", 3)
+    assert run(documents(tangled).repartition(5), length=100, bucket=20, run_bytes=4000) == brute(tangled, 100)
     assert run(documents(tangled).repartition(5), length=100, bucket=20, run_bytes=4000, group=2) == brute(tangled, 100)
 
 
