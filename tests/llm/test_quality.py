@@ -86,3 +86,17 @@ def test_rules_as_columns(spark):
         x = {f: np.array([r[a] / max(r[b], 1)]) for f, (a, b) in q.FEATURES.items()}
         first = next((k for k, rule in enumerate(rules) if rule.covers(x)[0]), None)
         assert r["rule"] == first and r["kept"] == (first is None and not r["base_failed"])
+
+
+def test_the_list_is_not_empty_on_few_labels(spark):
+    """Of the 400 labels of the small table rules are learned, and they reject what the base rule leaves of the bad ones."""
+    import os
+
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("the driver's tables are not here")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = q.quality_rules(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
+    bad = [r for r in got if r["quality"] == 0]
+    assert sum(not r["kept"] for r in bad) >= 0.6 * len(bad) > 5
+    assert sum(not r["kept"] for r in got if r["quality"] == 1) <= 0.02 * len(got)
