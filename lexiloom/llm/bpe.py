@@ -4,7 +4,8 @@ The last token of the encoding of every prefix follows from those of its own pre
 the prefix and may stand after the last token of what is left of it.  Distinct words are therefore laid out as a trie (in
 sorted order, which is its depth-first order) and each node's last token is found once, whatever number of words
 share the node.  The last symbol of a word is another symbol than the same letter within it, so that a word ends in a
-step of its own.  Words keep their encodings in the worker, up to a bound, and texts are put together from them.
+step of its own.  An automaton of the vocabulary finds the tokens that end at each place, the longest first.  Words never cross white space: texts are cut there, and the worker keeps the encodings of words and of
+what stands between white space, up to a bound in bytes, and puts texts together from them.
 """
 
 from __future__ import annotations
@@ -12,17 +13,22 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
 import unicodedata
+from array import array
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, utf8
 
-#: Words whose encodings a worker keeps; beyond it starts anew.
-CACHE = 200_000
+#: Bytes of encodings that a worker keeps; beyond it starts anew.
+CACHE = 256 << 20
+#: Bytes that an entry takes besides its contents.
+ENTRY = 300
 #: Unicode white space, as the tokenizer's pattern has it.
 _SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -56,15 +62,25 @@ class WordBpe:
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(self.end)}
         self.last = {t[: -len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end)}
         self.longest = max(map(len, self.vocab))
-        self.fits_known: dict[tuple[int, int], bool] = {}
+        self.fits_known: dict[int, bool] = {}
         self.whole_known: dict[int, bool] = {}
+        self.inner = {t: i for t, i in self.inner.items() if self.whole(i)}
+        self.last = {t: i for t, i in self.last.items() if self.whole(i)}
+        self.found = ahocorasick.Automaton()
+        for t, i in self.inner.items():
+            self.found.add_word(t, (i, len(t)))
+        self.found.make_automaton()
+        self.shown_name = {i: t.encode() for i, t in self.name.items()}
         alphabet = byte_alphabet()
         self.shown = alphabet
         self.letters = {chr(b): alphabet[b] for b in range(256)}
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.marks = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.ids: dict[str, bytes] = {}
-        self.pieces: dict[str, str] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.chunk_ids: dict[bytes, bytes] = {}
+        self.chunk_pieces: dict[bytes, bytes] = {}
+        self.held = 0
 
     def fits(self, a: int, b: int) -> bool:
         """Whether b may follow a: no merge across their border comes before those that make them.
@@ -72,10 +88,7 @@ class WordBpe:
         Merges are undone from the last one on.  While a part is still to be made by a merge of rank r, a merge over
         the border of a smaller rank would have come first; of an equal rank too if it lies to the left.
         """
-        known = self.fits_known.get((a, b))
-        if known is not None:
-            return known
-        first, bound, ok = (a, b), 1 << 60, True
+        first, bound, ok = a << 24 | b, 1 << 60, True
         while True:
             r = self.rank.get((a, b))
             if r is not None and r < bound:
@@ -117,17 +130,33 @@ class WordBpe:
             else:
                 bound, b = of_b[0] + 1, of_b[1]
 
-    def _step(self, text: str, n: int, last: list, tokens: dict[str, int]):
-        """(token, its length) that ends text[:n], given the last tokens of all shorter prefixes."""
-        for size in range(min(n, self.longest), 0, -1):
-            t = tokens.get(text[n - size : n])
-            if t is not None and (self.whole(t) if size == n else last[n - size] is not None and self.fits(last[n - size][0], t) and self.whole(t)):
-                return t, size
-        return None
+    def _after(self, last: int, token: int) -> bool:
+        """Whether token may follow the last token of a prefix, -1 for none."""
+        if last < 0:
+            return False
+        known = self.fits_known.get(last << 24 | token)
+        return self.fits(last, token) if known is None else known
+
+    def _descend(self, word: str, last, size) -> None:
+        """Add the last tokens of the word's prefixes that aren't known yet, but for the whole word, to last and size."""
+        new = len(last)
+        for at, (token, n) in self.found.iter(word, max(0, new - self.longest), len(word) - 1):
+            at += 1
+            if at < new:
+                continue
+            while len(last) < at:
+                last.append(-1)
+                size.append(0)
+            if len(last) == at and (n == at or self._after(last[at - n], token)):
+                last.append(token)
+                size.append(n)
+        while len(last) < len(word):
+            last.append(-1)
+            size.append(0)
 
     def encode_words(self, words) -> None:
         """Encode words, given as the characters of the byte alphabet, into self.ids and self.pieces."""
-        last: list = [None]
+        last, size = array("i", [-1]), array("H", [0])  # of each prefix of the word: its last token and that one's length
         before = ""
         for word in sorted(words):
             depth = 0
@@ -135,21 +164,32 @@ class WordBpe:
                 if x != y:
                     break
                 depth += 1
-            del last[min(depth, len(last) - 1) + 1 :]
-            while len(last) < len(word):
-                last.append(self._step(word, len(last), last, self.inner))
+            keep = min(depth, len(last) - 1) + 1
+            del last[keep:], size[keep:]
+            if keep < len(word):
+                self._descend(word, last, size)
             before = word
-            n, out = len(word), []
-            step = self._step(word, n, last, self.last)
-            while step is not None:
-                out.append(step[0])
-                n -= step[1]
-                step = last[n] if n else None
+            n, out = len(word), array("I")
+            for step in range(min(n, self.longest), 0, -1):
+                token = self.last.get(word[n - step :])
+                if token is not None and (step == n or self._after(last[n - step], token)):
+                    break
+            else:
+                token = -1
+            while token >= 0:
+                out.append(token)
+                n -= step
+                token, step = (last[n], size[n]) if n else (-1, 0)
             if n:
-                raise ValueError(f"no encoding of {word!r}")
+                raise ValueError(f"no encoding of {word[:100]!r}")
             out.reverse()
-            self.ids[word] = b"".join(t.to_bytes(4, "little") for t in out)
-            self.pieces[word] = " ".join(map(self.name.__getitem__, out))
+            if sys.byteorder == "big":
+                out.byteswap()
+            self.ids[word] = ids = out.tobytes()
+            if sys.byteorder == "big":
+                out.byteswap()
+            self.pieces[word] = pieces = b" ".join([self.shown_name[t] for t in out])
+            self.held += ENTRY + 2 * len(word) + len(ids) + len(pieces)
 
     def split(self, text: str) -> list[str]:
         """The words of a text in the byte alphabet; special tokens stand for themselves after a line break."""
@@ -162,26 +202,36 @@ class WordBpe:
         return out + self._plain(text[at:] if at else text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return [w if w.isascii() and w.isprintable() else "".join(map(self.shown.__getitem__, w.encode())) for w in self.words.findall(text)]
-        found = self.words.findall(text.lower())
-        return found if text.isprintable() else [w if w.isprintable() else "".join(map(self.shown.__getitem__, w.encode())) for w in found]
-
-    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """The ids (little-endian, 32 bits each) and the decoded text of each text."""
-        split = [self.split(t) for t in texts]
-        new = {w for ws in split for w in ws}
-        if len(self.ids) + len(new) > CACHE:
-            self.ids.clear()
-            self.pieces.clear()
-        new.difference_update(self.ids)
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return [w if w.isascii() and w.isprintable() else "".join(map(self.shown.__getitem__, w.encode())) for w in self.words.findall(text)]
+
+    def _add(self, chunks) -> None:
+        """Encode what stands between white space into self.chunk_ids and self.chunk_pieces."""
+        split = [(c, self.split(c.decode(errors="replace"))) for c in chunks]
+        new = {w for _, ws in split for w in ws}.difference(self.ids)
         for w in [w for w in new if w[0] == "\n"]:
             new.discard(w)
             self.ids[w] = self.special[w[1:]].to_bytes(4, "little")
-            self.pieces[w] = w[1:]
+            self.pieces[w] = w[1:].encode()
         self.encode_words(new)
-        return [(b"".join(map(self.ids.__getitem__, ws)), " ".join(map(self.pieces.__getitem__, ws))) for ws in split]
+        for c, ws in split:
+            self.chunk_ids[c] = ids = b"".join(map(self.ids.__getitem__, ws))
+            self.chunk_pieces[c] = pieces = b" ".join(map(self.pieces.__getitem__, ws))
+            self.held += ENTRY + 2 * len(c) + (len(ids) + len(pieces) if len(ws) > 1 else 0)
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids (little-endian, 32 bits each) and the decoded text of each text, all in UTF-8.
+
+        Texts are cut at the white space of ASCII.  Capitals of ASCII texts are made small at once: no mark can follow them.
+        """
+        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        self._add({c for cs in split for c in cs}.difference(self.chunk_ids))
+        out = [(b"".join(map(self.chunk_ids.__getitem__, cs)), b" ".join(filter(None, map(self.chunk_pieces.__getitem__, cs)))) for cs in split]
+        if self.held > CACHE:
+            for kept in (self.ids, self.pieces, self.chunk_ids, self.chunk_pieces):
+                kept.clear()
+            self.held = 0
+        return out
 
     def decode(self, ids) -> str:
         """The token strings with blanks between them: the tokenizer names no decoder."""
@@ -220,18 +270,29 @@ def text_batches(batch, limit: int = 1 << 21):
         yield ids, texts
 
 
+def byte_batches(batch, limit: int = 1 << 21):
+    """(ids, texts in UTF-8) of a batch (doc_id, text) in pieces of about limit bytes; null texts are empty."""
+    texts = utf8(batch.column(1))
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= limit or i + 1 == len(texts):
+            yield batch.column(0)[a : i + 1], texts[a : i + 1]
+            a, size = i + 1, 0
+
+
 def _encode(batches, path: str, full: bool):
     bpe = load(path)
     for batch in batches:
-        for ids, texts in text_batches(batch):
+        for ids, texts in byte_batches(batch):
             got = bpe.encode_all(texts)
-            columns = [pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x, _ in got], pa.int64())]
+            columns = [ids, pa.array([len(x) // 4 for x, _ in got], pa.int64())]
             names = ["doc_id", "n_tokens"]
             if full:
-                columns += [pa.array([list(memoryview(x).cast("I")) for x, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.string())]
+                columns += [pa.array([list(memoryview(x).cast("I")) for x, _ in got], pa.list_(pa.int32())), pa.array([s.decode() for _, s in got], pa.string())]
                 names += ["ids", "decoded"]
             else:
-                columns += [pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string()), pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in got], pa.string())]
+                columns += [pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string()), pa.array([hashlib.sha256(s).hexdigest() for _, s in got], pa.string())]
                 names += ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

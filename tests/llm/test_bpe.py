@@ -29,8 +29,19 @@ def test_same_as_the_library(library):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += ["".join(rng.choice("aab") for _ in range(rng.randint(1, 40))) for _ in range(1000)]
     texts += ["hello <|startoftext|>world<|endoftext|> x<|endoftext|>", "it's they're I'LL 'S", "", "   ", "éá"]
-    got = bpe.WordBpe(bpe.default_path()).encode_all(texts)
-    assert [(list(struct.unpack(f"<{len(i) // 4}I", i)), d) for i, d in got] == reference(library, texts)
+    texts += [a + m for a in "HTWYJIKAhz" for m in "\u0331\u0308\u030a\u030c\u0307\u0301"] + [" \u0301a", "\xa0", "a\xa0 \u2003b", "<|STARTOFTEXT|> A<|endoftext|>B"]
+    assert encoded(bpe.WordBpe(bpe.default_path()), texts) == reference(library, texts)
+
+
+def encoded(b, texts):
+    return [(list(struct.unpack(f"<{len(i) // 4}I", i)), d.decode()) for i, d in b.encode_all([t.encode() for t in texts])]
+
+
+def test_one_very_long_word(library):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdeinorst") for _ in range(300_000))
+    b = bpe.WordBpe(bpe.default_path())
+    assert encoded(b, [text, "a " + text[:100]]) == reference(library, [text, "a " + text[:100]])
 
 
 def test_the_cache_starts_anew(library, monkeypatch, prose):
@@ -38,7 +49,8 @@ def test_the_cache_starts_anew(library, monkeypatch, prose):
     b = bpe.WordBpe(bpe.default_path())
     texts = [prose(i, 30) for i in range(5)]
     for t in texts:
-        assert list(struct.unpack(f"<{len(b.encode_all([t])[0][0]) // 4}I", b.encode_all([t])[0][0])) == reference(library, [t])[0][0]
+        assert encoded(b, [t]) == reference(library, [t])
+        assert not b.ids and not b.chunk_ids
 
 
 def test_rows(documents, odd_texts, clashing, library):
