@@ -3,17 +3,23 @@
 A bin holds CAPACITY tokens.  Two documents of one duplicate cluster never share a bin, and at most SAME_SOURCE documents
 of one source do.  Bins stand in the order of what is left of them; every bin carries a bitmap of its clusters and one
 of the sources that have reached their number.  A document goes to the tightest bin that it fits and that has no
-conflict with it: the search starts at the first bin with enough room and goes on from successor to successor.
+conflict with it: the search starts at the first bin with enough room and goes on from successor to successor.  Bins with
+equal room stand in groups of equal bitmaps, so that a source or cluster that is everywhere rules out a group at a time.
+
+Sizes are words and an end mark, or the tokens of a public BPE vocabulary and an end mark; of the latter, sequences() puts
+the ids of a bin together.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_batches, default_path, encode, load
 from .common import Groups, table
 
 CAPACITY = 2048
@@ -22,12 +28,16 @@ SAME_SOURCE = 4
 SHARD = 20_000
 
 
+#: Documents of a shard from which on a cluster counts as one that is everywhere.
+COMMON = 8
+
+
 class Bins:
-    """Open bins in buckets by what is left, with a bitmap of the buckets that are not empty."""
+    """Open bins in buckets by what is left, with a bitmap of the buckets that are not empty; clusters in the bitmap common are many bins'."""
 
-    def __init__(self, capacity: int, same_source: int):
-        self.capacity, self.same_source = capacity, same_source
-        self.buckets: list[list[int]] = [[] for _ in range(capacity + 1)]
+    def __init__(self, capacity: int, same_source: int, common: int = 0):
+        self.capacity, self.same_source, self.common = capacity, same_source, common
+        self.buckets: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(capacity + 1)]
         self.full = 0  # bit r is set if some bin has r left
         self.left: list[int] = []
         self.clusters: list[int] = []
@@ -35,12 +45,9 @@ class Bins:
 
     def _put(self, b: int) -> None:
         r = self.left[b]
-        self.buckets[r].append(b)
+        self.buckets[r].setdefault((self.clusters[b] & self.common, self.sources[b][-1]), []).append(b)
         self.full |= 1 << r
 
-    def _fits(self, b: int, cluster: int, source: int) -> bool:
-        return not (self.clusters[b] & cluster) and not (self.sources[b][-1] & source)
-
     def find(self, size: int, cluster: int, source: int) -> int | None:
         """Takes the tightest bin without a conflict out of its bucket."""
         rest = self.full >> size
@@ -49,13 +56,18 @@ class Bins:
             step = (rest & -rest).bit_length() - 1
             r += step
             bucket = self.buckets[r]
-            for k, b in enumerate(bucket):
-                if self._fits(b, cluster, source):
-                    bucket[k] = bucket[-1]
-                    bucket.pop()
-                    if not bucket:
-                        self.full &= ~(1 << r)
-                    return b
+            for bits, group in bucket.items():
+                if bits[0] & cluster or bits[1] & source:
+                    continue
+                for k, b in enumerate(group):
+                    if not self.clusters[b] & cluster:
+                        group[k] = group[-1]
+                        group.pop()
+                        if not group:
+                            del bucket[bits]
+                            if not bucket:
+                                self.full &= ~(1 << r)
+                        return b
             rest >>= step + 1
             r += 1
         return None
@@ -83,9 +95,9 @@ class Bins:
 def _pack(batches, capacity: int, same_source: int):
     for shard, rows in Groups(batches, "shard"):
         rows.sort(key=lambda r: (-(r["size"] % capacity or capacity), r["doc_id"] is not None, r["doc_id"], r["order"]))
-        bins = Bins(capacity, same_source)
         count = Counter(r["cluster"] for r in rows)
         clusters: dict = {c: 1 << k for k, c in enumerate(c for c, n in count.items() if n > 1)}
+        bins = Bins(capacity, same_source, sum(bit for c, bit in clusters.items() if count[c] >= COMMON))
         sources: dict = {}
         out = []
         for r in rows:
@@ -120,15 +132,45 @@ def pack(items: DataFrame, capacity: int = CAPACITY, same_source: int = SAME_SOU
     )
 
 
-def items_of(docs: DataFrame) -> DataFrame:
-    """Items of documents: the words and one end mark as size, and as cluster a digest of the words in lower case."""
-    words = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-    size = F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
-    return docs.select("doc_id", "source", (size + 1).alias("size"), F.when(words != "", F.xxhash64(words)).alias("cluster"))
+def _sizes(batches, path: str | None):
+    for batch in batches:
+        for ids, texts in byte_batches(batch):
+            words = [(t.lower() if t.isascii() else t.decode(errors="replace").lower().encode()).split() for t in texts]
+            size = [len(x) // 4 + 1 for x, _ in load(path).encode_all(texts)] if path else [len(w) + 1 for w in words]
+            cluster = [hashlib.blake2b(b" ".join(w), digest_size=16).hexdigest() if w else None for w in words]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(cluster, pa.string())], names=["_at", "size", "cluster"])
+
+
+def items_of(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Items (doc_id, size, source, cluster) of docs: the words of the text, or its tokens in the vocabulary at path, and one end mark, and a digest of its words in small letters.
 
+    So clusters are copies up to case and white space; of near copies, minhash.near_duplicates() has the clusters.
+    """
+    at = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    made = docs.select(at.alias("_at"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _sizes(b, path), "_at struct<doc_id:long,source:string>, size long, cluster string")
+    return made.select("_at.doc_id", "size", "_at.source", "cluster")
+
+
+def packed(docs: DataFrame, path: str | None = None, clusters: DataFrame | None = None, **how) -> DataFrame:
+    """The places of docs; clusters (doc_id, component_id), if given, are the duplicate clusters of the documents."""
+    items = items_of(docs, path)
+    if clusters is not None:
+        of = clusters.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("component_id").cast("string").alias("component"))
+        items = items.join(of, "doc_id", "left").select("doc_id", "size", "source", F.coalesce("component", "cluster").alias("cluster"))
+    return pack(items, **how)
 
-def packed(docs: DataFrame, **how) -> DataFrame:
-    return pack(items_of(docs), **how)
+
+def sequences(docs: DataFrame, places: DataFrame, path: str | None = None) -> DataFrame:
+    """(shard, bin, doc_ids, ids): the token ids of each bin's pieces in their order, every document's last piece with the end mark.
+
+    docs has distinct ids that aren't null, and places are those of packed() with the vocabulary at path, the default one if none is given.
+    """
+    path = path or default_path()
+    end = load(path).special["<|endoftext|>"]
+    ids = encode(docs, path).select("doc_id", F.concat(F.coalesce("ids", F.array().cast("array<int>")), F.array(F.lit(end))).alias("ids"))
+    piece = places.join(ids, "doc_id").select("shard", "bin", "bin_offset", "doc_id", F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens")).alias("ids"))
+    whole = piece.groupBy("shard", "bin").agg(F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", "ids"))).alias("p"))
+    return whole.select("shard", "bin", F.transform("p", lambda x: x.doc_id).alias("doc_ids"), F.flatten(F.transform("p", lambda x: x.ids)).alias("ids"))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
-from lexiloom.llm import packing
+from lexiloom.llm import bpe, packing
 
 ITEMS = "doc_id long, size long, source string, cluster string"
 
@@ -40,7 +40,7 @@ def test_constraints_hold(spark):
 def test_tightest_compatible_bin():
     """Every placement against a search through all bins."""
     rng = random.Random(2)
-    bins = packing.Bins(50, 2)
+    bins = packing.Bins(50, 2, common=1)
     for _ in range(500):
         size, cluster, source = rng.randint(1, 50), rng.choice([0, 1, 2, 4]), rng.choice([0, 1, 2])
         fit = [left for b, left in enumerate(bins.left) if left >= size and not bins.clusters[b] & cluster and not bins.sources[b][-1] & source and left]
@@ -59,3 +59,43 @@ def test_odd_rows(spark, documents, odd_texts, clashing):
     made = packing.packed(documents(odd_texts)).collect()
     assert sum(r["piece"] == 0 for r in made) == len(odd_texts)
     assert sum(r["n_tokens"] for r in made if r["doc_id"] == 5) == 30_001
+    made = packing.packed(documents(odd_texts), bpe.default_path()).collect()
+    tokens = {r["doc_id"]: r["n_tokens"] for r in bpe.encode(documents(odd_texts)).where("doc_id = 5 or doc_id = 1").collect()}
+    assert sum(r["n_tokens"] for r in made if r["doc_id"] == 5) == tokens[5] + 1 and tokens[1] == 0
+
+
+def test_sequences_hold_the_documents(spark, documents, prose):
+    """Put together again from the packed sequences, every document has its token ids and an end mark."""
+    docs = documents([prose(i, 5 + 37 * i % 900) for i in range(40)] + ["", None])
+    at = packing.packed(docs, bpe.default_path(), capacity=300)
+    made = packing.sequences(docs, at).collect()
+    places = {(r["shard"], r["bin"]): r for r in made}
+    assert all(len(r["ids"]) <= 300 for r in made)
+    got = defaultdict(list)
+    for r in sorted(at.collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        whole = places[r["shard"], r["bin"]]
+        assert r["doc_id"] in whole["doc_ids"]
+        got[r["doc_id"]] += whole["ids"][r["bin_offset"] : r["bin_offset"] + r["n_tokens"]]
+    end = bpe.load(bpe.default_path()).special["<|endoftext|>"]
+    assert dict(got) == {r["doc_id"]: r["ids"] + [end] for r in bpe.encode(docs).collect()}
+
+
+def test_given_clusters_share_no_bin(spark, documents, prose):
+    docs = documents([prose(1, 30)] + [prose(1, 30) + f" more{i}" for i in range(6)])
+    clusters = spark.createDataFrame([(i, 0) for i in range(7)], "doc_id long, component_id long")
+    assert len({r["bin"] for r in packing.packed(docs, clusters=clusters, same_source=9).collect()}) == 7
+    assert len({r["bin"] for r in packing.packed(docs, same_source=9).collect()}) == 1
+
+
+def test_one_source_everywhere():
+    """Bins that a dominant source has filled are passed over in groups: the work doesn't grow with their square."""
+    import time
+
+    def seconds(n):
+        bins, began = packing.Bins(2048, 2), time.perf_counter()
+        for k in range(n):
+            bins.place(100 + k % 7, 0, 1)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 40 * max(seconds(1000), 0.002)
