@@ -8,7 +8,7 @@ documents, whatever other columns come in; every stage makes an empty table an e
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import minhash, packing, pii, suffix, toxicity
+from lexiloom.llm import bpe, minhash, packing, pii, suffix, toxicity
 from lexiloom.llm.common import DOC_COLUMNS, saved, table
 
 #: Bytes of a string that counts as a repeated passage.  Passages of over 50 words have as many where a word and what
@@ -50,8 +50,8 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document's pieces in the packed sequences; null and empty texts are an end mark alone, repeated rows are packed each."""
-    return packing.packed(docs)
+    """The place of every document's pieces in the packed sequences, in BPE tokens; null and empty texts are an end mark alone, repeated rows are packed each."""
+    return packing.packed(docs, bpe.default_path())
 
 
 STAGES = [
