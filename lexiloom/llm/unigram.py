@@ -1,6 +1,6 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
-The best segmentation of a prefix depends on the prefix alone.  Distinct pre-tokens are laid out as a trie (in sorted
+The best segmentation of a prefix depends on the prefix alone; an automaton finds the pieces that end at each place.  Distinct pre-tokens are laid out as a trie (in sorted
 order, its depth-first order), the forward score and the number of tokens of each node are computed once whatever
 number of pre-tokens share it, and the terminal ones are kept for the texts of the worker.
 
@@ -12,19 +12,19 @@ from __future__ import annotations
 
 import math
 import os
-import re
+from array import array
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import text_batches
+from .bpe import ENTRY, byte_batches
 from .common import table
 
-#: Pre-tokens whose scores a worker keeps; beyond it starts anew.
-CACHE = 300_000
+#: Bytes of scored pre-tokens that a worker keeps; beyond it starts anew.
+CACHE = 64 << 20
 SHIFT = 2.7
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MARK = "▁"
 
 
@@ -32,8 +32,14 @@ class Unigram:
     def __init__(self, scores: dict[str, float], byte_score: float):
         self.scores, self.byte_score = scores, byte_score
         self.longest = max(map(len, scores), default=1)
-        self.count: dict[str, int] = {}
-        self.score: dict[str, float] = {}
+        self.found = ahocorasick.Automaton()
+        for piece, score in scores.items():
+            self.found.add_word(piece, (score, len(piece)))
+        if scores:
+            self.found.make_automaton()
+        self.count: dict[bytes, int] = {}
+        self.score: dict[bytes, float] = {}
+        self.held = 0
 
     @classmethod
     def from_pieces(cls, path: str) -> "Unigram":
@@ -45,43 +51,50 @@ class Unigram:
         scores = {sp.id_to_piece(i): -math.log(r + SHIFT) - total for r, i in enumerate(usual)}
         return cls(scores, -math.log(len(usual) + SHIFT) - total)
 
-    def add(self, words) -> None:
+    def add(self, words: set[bytes]) -> None:
         """Forward scores of the pre-tokens' trie; of equal scores the one with fewer tokens."""
-        best: list[tuple[float, int]] = [(0.0, 0)]
+        best, least = array("d", [0.0]), array("q", [0])  # of each prefix
         before = ""
-        scores, longest, byte = self.scores, self.longest, self.byte_score
-        for word in sorted(words):
-            text = MARK + word
+        longest, byte = self.longest, self.byte_score
+        for word in sorted(words):  # the order of UTF-8 is that of code points
+            text = MARK + word.decode(errors="replace")
             shared = 0
             for x, y in zip(text, before):
                 if x != y:
                     break
                 shared += 1
-            del best[shared + 1 :]
+            del best[shared + 1 :], least[shared + 1 :]
             before = text
-            for n in range(len(best), len(text) + 1):
-                size = len(text[n - 1].encode())
-                s, k = best[n - 1]
-                top, least = s + byte * size, k + size
-                for a in range(max(0, n - longest), n):
-                    p = scores.get(text[a:n])
-                    if p is not None:
-                        s, k = best[a]
-                        s += p
-                        if s > top or (s == top and k + 1 < least):
-                            top, least = s, k + 1
-                best.append((top, least))
-            self.score[word], self.count[word] = best[len(text)]
-
-    def count_all(self, texts: list[str]) -> list[tuple[int, int, float]]:
-        """Pre-tokens, tokens and log probability of each text."""
-        split = [WORD.findall(t) for t in texts]
-        new = {w for ws in split for w in ws}
-        if len(self.count) + len(new) > CACHE:
+            new = len(best)
+
+            def reach(n: int) -> None:
+                """Opens the prefixes up to n, by the bytes of their last characters."""
+                for k in range(len(best), n + 1):
+                    size = len(text[k - 1].encode())
+                    best.append(best[k - 1] + byte * size)
+                    least.append(least[k - 1] + size)
+
+            for at, (p, size) in self.found.iter(text, max(0, new - longest)) if self.scores else ():
+                at += 1
+                if at >= new:
+                    reach(at)
+                    s, k = best[at - size] + p, least[at - size] + 1
+                    if s > best[at] or (s == best[at] and k < least[at]):
+                        best[at], least[at] = s, k
+            reach(len(text))
+            self.score[word], self.count[word] = best[len(text)], least[len(text)]
+            self.held += ENTRY + len(word)
+
+    def count_all(self, texts: list[bytes]) -> list[tuple[int, int, float]]:
+        """Pre-tokens, tokens and log probability of each text in UTF-8; pre-tokens are what the white space of ASCII divides."""
+        split = [t.split() for t in texts]
+        self.add({w for ws in split for w in ws}.difference(self.count))
+        out = [(len(ws), sum(map(self.count.__getitem__, ws)), math.fsum(map(self.score.__getitem__, ws))) for ws in split]
+        if self.held > CACHE:
             self.count.clear()
             self.score.clear()
-        self.add(new.difference(self.count))
-        return [(len(ws), sum(map(self.count.__getitem__, ws)), math.fsum(map(self.score.__getitem__, ws))) for ws in split]
+            self.held = 0
+        return out
 
 
 _loaded: dict[str, Unigram] = {}
@@ -105,10 +118,10 @@ def default_path() -> str:
 def _count(batches, path: str):
     model = load(path)
     for batch in batches:
-        for ids, texts in text_batches(batch):
+        for ids, texts in byte_batches(batch):
             got = model.count_all(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64())] + [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "n_pretokens", "n_tokens", "log_prob"]
+                [ids] + [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "n_pretokens", "n_tokens", "log_prob"]
             )
 
 

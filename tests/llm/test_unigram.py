@@ -21,16 +21,23 @@ def test_against_all_segmentations():
     model = unigram.load(unigram.default_path())
     rng = random.Random(2)
     words = {"".join(rng.choice("abcdeinorst漢é1!") for _ in range(rng.randint(1, 14))) for _ in range(800)}
-    model.count_all([" ".join(words)])
+    model.count_all([" ".join(words).encode()])
     for w in words:
         score, tokens = brute(w, model)
-        assert model.score[w] == pytest.approx(score) and model.count[w] == -tokens
+        assert model.score[w.encode()] == pytest.approx(score) and model.count[w.encode()] == -tokens
 
 
 def test_shared_prefixes_are_computed_once():
     model = unigram.Unigram({unigram.MARK: -1.0, "ab": -1.0, "a": -1.0, "b": -2.0}, -9.0)
-    model.add(["ab", "abab", "aba"])
-    assert model.count == {"ab": 2, "aba": 3, "abab": 3}
+    model.add({b"ab", b"abab", b"aba"})
+    assert model.count == {b"ab": 2, b"aba": 3, b"abab": 3}
+
+
+def test_one_very_long_word_and_a_small_cache(monkeypatch):
+    monkeypatch.setattr(unigram, "CACHE", 10)
+    model = unigram.Unigram({unigram.MARK: -1.0, "ab": -1.0, "a": -1.0, "b": -2.0}, -9.0)
+    assert model.count_all([b"ab" * 1_000_000, b"\x1cab ab"]) == [(1, 1_000_001, -1_000_001.0), (2, 5, -13.0)]
+    assert not model.count and not model.held
 
 
 def test_rows(documents, odd_texts, clashing):
