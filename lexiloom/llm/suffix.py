@@ -40,6 +40,8 @@ BUCKET = 30_000
 RUN_BYTES = 24 << 20
 #: Sampled splitters at most; beyond it the suffixes between two splitters are dealt to several buckets.
 SPLITTERS = 20_000
+#: Tasks that merge at most; up to it there are as many as buckets, beyond it a task merges one bucket after the other.
+MERGERS = 100_000
 #: Anchors whose suffixes may be in one group and are merged by a task; the windows of larger groups go through a shuffle.
 GROUP = 60_000
 #: Bytes of texts whose anchors are looked for at once.
@@ -464,7 +466,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET
     work = part.select(F.col("_k").alias("k"), "text").join(places, "k").select("k", "text", "at")
     # Every row counts, so rows of one key are not made one; the run's name tells tasks apart.
     made = saved(work.mapInArrow(lambda b: _contexts(b, length, cuts, subs, _task(), run_bytes), "kind int, bucket long, run string, seq int, block binary, k long, at array<int>, ids array<binary>"), "runs")
-    pieces = made.where("kind = 0").select("bucket", "run", "seq", "block").repartition(max(parallelism(spark), 1), "bucket").sortWithinPartitions("bucket", "run", "seq")
+    tasks = min(max(parallelism(spark), buckets * subs), MERGERS)
+    pieces = made.where("kind = 0").select("bucket", "run", "seq", "block").repartition(tasks, "bucket").sortWithinPartitions("bucket", "run", "seq")
     masks = saved(pieces.mapInArrow(lambda b: _merge(b, length), "id binary, mask binary"), "masks")
     if twice.where("hot").take(1):
         context = made.where("kind = 2").groupBy(F.get("ids", 0).alias("id")).agg(F.first("block").alias("key"), F.first("bucket").alias("right"), F.sum("seq").alias("n"))
