@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_batches, default_path, encode, load
-from .common import Groups, table
+from .common import Groups, saved, table
 
 CAPACITY = 2048
 SAME_SOURCE = 4
@@ -153,7 +153,7 @@ def items_of(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def packed(docs: DataFrame, path: str | None = None, clusters: DataFrame | None = None, **how) -> DataFrame:
     """The places of docs; clusters (doc_id, component_id), if given, are the duplicate clusters of the documents."""
-    items = items_of(docs, path)
+    items = saved(items_of(docs, path), "items")  # counted and packed, but read once
     if clusters is not None:
         of = clusters.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("component_id").cast("string").alias("component"))
         items = items.join(of, "doc_id", "left").select("doc_id", "size", "source", F.coalesce("component", "cluster").alias("cluster"))
