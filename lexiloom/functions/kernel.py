@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import functions as F
 
@@ -229,17 +232,20 @@ _BOUNDARY = regex.compile(r"(?V1w)\b")  # the default word boundaries of Unicode
 _WRITTEN = re.compile(f"[{CJK}]+|[^{CJK}]+")
 #: Letters of a word in the lattice at most, and what a letter that no word holds costs beside the rarest word.
 WORD_LETTERS, UNKNOWN = 6, 4.0
+#: Bytes of texts whose segments, and tokens that are Python objects at once; all others are Arrow columns by then.
+PIECE = 1 << 17
 
 
-def words_of(text: str) -> list[tuple[int, int]]:
+def words_of(text: str) -> Iterator[tuple[int, int]]:
     """The pieces between word boundaries that aren't white space."""
-    out, a = [], 0
+    a = 0
     for m in _BOUNDARY.finditer(text):
         b = m.start()
         if b > a and not text[a:b].isspace():
-            out.append((a, b))
+            yield a, b
         a = b
-    return out + ([(a, len(text))] if text[a:].strip() else [])
+    if text[a:].strip():
+        yield a, len(text)
 
 
 def lattice(text: str, cost) -> list[tuple[int, int]]:
@@ -265,16 +271,17 @@ def lattice(text: str, cost) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def tokens(text: str, lang: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
+def tokens(text: str, lang: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int]]:
     """(token, start, end) in characters: Chinese and Japanese by the lattice of the lexicon's words, all else by word boundaries."""
     if lang not in c.SINITIC and lang != "ja":
-        return [(text[a:b], a, b) for a, b in words_of(text)]
+        for a, b in words_of(text):
+            yield text[a:b], a, b
+        return
     cost = lexicon.costs("ja" if lang == "ja" else "zh")
-    out: list[tuple[str, int, int]] = []
     for m in _WRITTEN.finditer(text):
         found = lattice(m[0], cost) if _CJK_RUN.match(m[0]) else words_of(m[0])
-        out += [(m[0][a:b], m.start() + a, m.start() + b) for a, b in found]
-    return out
+        for a, b in found:
+            yield m[0][a:b], m.start() + a, m.start() + b
 
 
 SEGMENT = "array<struct<language:string,start:int,end:int,text:string,tokens:array<struct<text:string,start:int,end:int>>>>"
@@ -295,12 +302,65 @@ def segments(norm: str, vi: int, fr: int, strategy: str, lexicon: Lexicon) -> li
     return out
 
 
-def segment_tokens(text: str, start: int, lang: str, lexicon: Lexicon) -> list[dict] | None:
-    """The tokens of a segment that starts at byte start, None if there are none."""
-    offset = [start]
-    for ch in text:
-        offset.append(offset[-1] + len(ch.encode()))
-    return [{"text": w, "start": offset[a], "end": offset[b]} for w, a, b in tokens(text, lang, lexicon)] or None
+def byte_offsets(text: str, start: int) -> Sequence[int]:
+    """The byte at which each character of a text that starts at byte start begins, and the end of the text."""
+    if text.isascii():
+        return range(start, start + len(text) + 1)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return start + np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
+
+
+def token_lists(found: list[tuple[str, int, int, str]], lexicon: Lexicon) -> pa.Array:
+    """The tokens of each segment, (tag, start, end, text), null if there are none; PIECE of them at most are Python objects at once."""
+    bounds, parts = [], []
+    words: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    done = 0
+
+    def put():
+        parts.append(pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(_TOKEN_ARROW)))
+        for x in (words, starts, ends):
+            x.clear()
+
+    for lang, start, _, text in found:
+        offset, first = byte_offsets(text, start), done
+        for w, a, b in tokens(text, lang, lexicon):
+            words.append(w)
+            starts.append(offset[a])
+            ends.append(offset[b])
+            done += 1
+            if len(words) >= PIECE:
+                put()
+        bounds.append(first if done > first else None)
+    put()
+    return pa.ListArray.from_arrays(pa.array([*bounds, done], pa.int32()), pa.concat_arrays(parts))
+
+
+def segment_lists(texts: Iterable[tuple[str | None, int, int, str]], lexicon: Lexicon, tokenize: bool) -> pa.Array:
+    """SEGMENT of each (normalized text, vi markers, fr markers, Han strategy)."""
+    sizes, rows = [0], []
+    for x, a, b, s in texts:
+        if x:
+            rows += segments(x, a, b, s, lexicon)
+        sizes.append(len(rows))
+    langs, starts, ends, found = zip(*rows) if rows else ((), (), (), ())
+    words = token_lists(rows, lexicon) if tokenize else pa.nulls(len(rows), pa.list_(_TOKEN_ARROW))
+    parts = [pa.array(langs, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string()), words]
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["language", "start", "end", "text", "tokens"]))
+
+
+def ranges(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of texts with about PIECE bytes in each; one range at least."""
+    bounds, size = [0], 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
+        if size >= PIECE:
+            bounds.append(i + 1)
+            size = 0
+    if bounds[-1] < len(texts) or len(texts) == 0:
+        bounds.append(len(texts))
+    return list(zip(bounds, bounds[1:]))
 
 
 def segments_udf(lexicon: Lexicon, tokenize: bool = False):
@@ -308,15 +368,8 @@ def segments_udf(lexicon: Lexicon, tokenize: bool = False):
 
     @F.arrow_udf(SEGMENT)
     def extract(norm: pa.Array, vi: pa.Array, fr: pa.Array, strategy: pa.Array) -> pa.Array:
-        sizes, rows = [0], []
-        for x, a, b, s in zip(*(v.to_pylist() for v in (norm, vi, fr, strategy))):
-            if x:
-                rows += segments(x, a, b, s, lexicon)
-            sizes.append(len(rows))
-        langs, starts, ends, texts = zip(*rows) if rows else ((), (), (), ())
-        words = [segment_tokens(t, a, lang, lexicon) for lang, a, _, t in rows] if tokenize else [None] * len(rows)
-        parts = [pa.array(langs, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.array(words, pa.list_(_TOKEN_ARROW))]
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["language", "start", "end", "text", "tokens"]))
+        columns = norm, vi, fr, strategy
+        return pa.concat_arrays([segment_lists(zip(*(v[a:b].to_pylist() for v in columns)), lexicon, tokenize) for a, b in ranges(norm)])
 
     return extract
 

@@ -15,6 +15,7 @@ from ..functions import charsets as c
 from ..functions import columns as x
 from ..functions import kernel
 from ..sources.lexicon import Lexicon
+from ..sources.shared import bound_batches
 from .options import IdentifyOptions
 
 f32 = x.f32
@@ -42,6 +43,8 @@ def with_signals(df: DataFrame, options: IdentifyOptions = IdentifyOptions()) ->
     df = df.withColumn("strategy", x.han_strategy({k: F.col(k) for k in ("kana", "han", "hans", "hant", "lzh", "yue", "hk", "tw")}))
     kernels = {"lexical": kernel.lexical_udf(lexicon)(norm)}
     if options.segments:
+        if options.tokenize:
+            bound_batches(df.sparkSession)
         kernels["spans"] = kernel.segments_udf(lexicon, options.tokenize)(norm, "vi", "fr", "strategy")
     df = df.withColumns(kernels).select("*", "lexical.*").drop("lexical")
     # The n-grams decide only where no letter mark and no lexicon does.

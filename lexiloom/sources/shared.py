@@ -1,4 +1,4 @@
-"""The folder that all executors share."""
+"""What a session sets up: the folder that all executors share, the rows of an Arrow batch."""
 
 from __future__ import annotations
 
@@ -20,3 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         top = "file://" + made
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows of an Arrow batch at most where results are many times larger than the texts.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -175,3 +175,43 @@ def test_columns_stay(spark):
     out = identify(df)
     assert out.columns[:7] == ["text", "norm", "vi", "total", "fine", "kept", "_row"] and out.first()["status"] == "resolved"
     assert identify(df.limit(0)).collect() == []
+
+
+MIXED = ["We went to the old market, don't pay 3.5 now", None, "", "这个市场的鱼很便宜 and 新しい店で TV を", "𝒳 cá tươi 시장은 바다 옆에 façade", "\u3000", "海の近くの店で"]
+
+
+def _segments(texts, tokenize=True):
+    import pyarrow as pa
+
+    n = len(texts)
+    return kernel.segments_udf(Lexicon.of(None), tokenize).func(pa.array(texts, pa.string()), pa.array([0] * n), pa.array([0] * n), pa.array(["zh-Hans"] * n))
+
+
+def test_tokens_in_pieces(monkeypatch):
+    """Segments and tokens are the same however few are Python objects at once."""
+    whole = _segments(MIXED * 3)
+    want = [[s["tokens"] and [(t["text"], t["start"], t["end"]) for t in s["tokens"]] for s in d] for d in whole.to_pylist()]
+    for text, found, row in zip(MIXED * 3, want, whole.to_pylist()):
+        for s, words in zip(row, found):
+            assert words == [(w, s["start"] + len(s["text"][:a].encode()), s["start"] + len(s["text"][:b].encode())) for w, a, b in kernel.tokens(s["text"], s["language"], Lexicon.of(None))] or None
+            assert all((text or "").encode()[a:b].decode() == w for w, a, b in words)
+    monkeypatch.setattr(kernel, "PIECE", 3)
+    for tokenize in (True, False):
+        small = _segments(MIXED * 3, tokenize)
+        assert small.type == whole.type and [[s["text"] for s in d] for d in small.to_pylist()] == [[s["text"] for s in d] for d in whole.to_pylist()]
+        assert (small == whole) == tokenize
+    assert len(_segments([])) == 0 and _segments([]).type == whole.type
+
+
+def test_memory_of_tokens(spark):
+    """A batch's tokens, 2 MB of texts and a single long one, are never all Python objects; batches of tokens are small."""
+    import tracemalloc
+
+    for texts, most in ((["the old market by the sea " * 80] * 1000, 20), (["the old market by the sea " * 80_000], 180)):
+        tracemalloc.start()
+        _segments(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most << 20
+    run(spark, ["a"], tokenize=True)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
