@@ -10,6 +10,8 @@ what stands between white space, up to a bound in bytes, and puts texts together
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import os
@@ -219,15 +221,15 @@ class WordBpe:
             self.chunk_pieces[c] = pieces = b" ".join(map(self.pieces.__getitem__, ws))
             self.held += ENTRY + 2 * len(c) + (len(ids) + len(pieces) if len(ws) > 1 else 0)
 
-    def encode_all(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """The ids (little-endian, 32 bits each) and the decoded text of each text, all in UTF-8.
+    def encode_all(self, texts: list[bytes], cache: int | None = None) -> list[tuple[bytes, bytes]]:
+        """The ids (little-endian, 32 bits each) and the decoded text of each text, all in UTF-8; cache: as CACHE, by default that.
 
         Texts are cut at the white space of ASCII.  Capitals of ASCII texts are made small at once: no mark can follow them.
         """
         split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
         self._add({c for cs in split for c in cs}.difference(self.chunk_ids))
         out = [(b"".join(map(self.chunk_ids.__getitem__, cs)), b" ".join(filter(None, map(self.chunk_pieces.__getitem__, cs)))) for cs in split]
-        if self.held > CACHE:
+        if self.held > (CACHE if cache is None else cache):
             for kept in (self.ids, self.pieces, self.chunk_ids, self.chunk_pieces):
                 kept.clear()
             self.held = 0
@@ -247,6 +249,15 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
+def unload() -> None:
+    """Give the memory of all that is loaded back to the system: workers are used again, by tasks that encode nothing."""
+    _loaded.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def default_path() -> str:
     try:
         import public_tokenizers

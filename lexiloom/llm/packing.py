@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_batches, default_path, encode, load
+from .bpe import byte_batches, default_path, encode, load, unload
 from .common import Groups, saved, table
 
 CAPACITY = 2048
 SAME_SOURCE = 4
 #: Documents that one task packs; documents are dealt at random, so that no source or cluster makes a large share.
 SHARD = 20_000
-
+#: Bytes of encodings that a worker keeps for the sizes; less than in encoding alone, since earlier stages' memory lies beside it.
+CACHE = 96 << 20
 
 #: Documents of a shard from which on a cluster counts as one that is everywhere.
 COMMON = 8
@@ -136,9 +137,11 @@ def _sizes(batches, path: str | None):
     for batch in batches:
         for ids, texts in byte_batches(batch):
             words = [(t.lower() if t.isascii() else t.decode(errors="replace").lower().encode()).split() for t in texts]
-            size = [len(x) // 4 + 1 for x, _ in load(path).encode_all(texts)] if path else [len(w) + 1 for w in words]
+            size = [len(x) // 4 + 1 for x, _ in load(path).encode_all(texts, CACHE)] if path else [len(w) + 1 for w in words]
             cluster = [hashlib.blake2b(b" ".join(w), digest_size=16).hexdigest() if w else None for w in words]
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(cluster, pa.string())], names=["_at", "size", "cluster"])
+    if path:
+        unload()
 
 
 def items_of(docs: DataFrame, path: str | None = None) -> DataFrame:

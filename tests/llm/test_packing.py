@@ -99,3 +99,23 @@ def test_one_source_everywhere():
 
     seconds(500)
     assert seconds(16_000) < 40 * max(seconds(1000), 0.002)
+
+
+def test_workers_give_the_encoder_back(spark, documents, prose, monkeypatch):
+    """Workers that have counted tokens serve other stages next: neither the vocabulary nor its caches stay in them."""
+    import pyarrow as pa
+
+    path = bpe.default_path()
+    texts = [prose(i, 200) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], names=["_at", "text"])
+    want = [len(x) // 4 + 1 for x, _ in bpe.load(path).encode_all([t.encode() for t in texts])]
+    monkeypatch.setattr(packing, "CACHE", 10)
+    assert next(packing._sizes([batch], path)).column("size").to_pylist() == want and not bpe.load(path).ids
+    assert len(list(packing._sizes([batch], path))) == 1 and not bpe._loaded
+    assert packing.items_of(documents(texts), path).count() == 20
+
+    def loaded(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._loaded)])], names=["n"])
+
+    assert {r["n"] for r in spark.range(40, numPartitions=8).mapInArrow(loaded, "n long").collect()} == {0}
