@@ -23,7 +23,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows of an Arrow batch at most where results are many times larger than the texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def bound_batches(spark: SparkSession) -> None:

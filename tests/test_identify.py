@@ -214,4 +214,4 @@ def test_memory_of_tokens(spark):
         tracemalloc.stop()
         assert peak < most << 20
     run(spark, ["a"], tokenize=True)
-    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 250
